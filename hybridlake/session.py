@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    It acts when the driver collects its garbage, which may else be long after a lineage was cut.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
