@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import near_dup
+from hybridlake.llm import mixing, near_dup, packing, splitting, tokens
 from hybridlake.plans.registry import Registry
 from hybridlake.sources.tables import table
 
@@ -43,3 +43,70 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     members = _p1_members(spark, d)
     return near_dup.groups(members, near_dup.similar_classes(members, **_P1))
+
+
+# --- p5: splitting oversized items ----------------------------------------------------------
+
+
+def _p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    # Deliveries of one node are of equal content; of others, the latest oversized one is split.
+    long_bodies = table(spark, d, "nodes").where("id is not null and length(raw_body) > 2500")
+    bodies = long_bodies.groupBy(F.col("id").alias("k")).agg(F.max(F.struct("ingested_at", "raw_body"))["raw_body"].alias("x"))
+    texts = latest_memories(spark, d).select(F.col("key").alias("k"), F.col("content").alias("x"))
+    both = bodies.withColumn("t", F.lit("nodes")).unionByName(texts.withColumn("t", F.lit("memories")))
+    return splitting.split_oversized(both, F.col("t"), F.col("k"), F.col("x"), limit=2500, overlap=400)
+
+
+@R.add(
+    "p5_found",
+    """
+    SELECT DISTINCT 'nodes' AS table_name, id AS item_key FROM nodes WHERE length(raw_body) > 2500
+    UNION ALL
+    SELECT 'memories', key FROM (SELECT key, unnest(max({'u': updated_at, 'c': content})) FROM memories GROUP BY key) WHERE length(c) > 2500
+    """,
+)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5_pieces(spark, d).where("piece_no = 0").select("table_name", "item_key")
+
+
+@R.add("p5_pieces")
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _p5_pieces(spark, d)
+
+
+# --- p6: filling containers -----------------------------------------------------------------
+
+
+def _p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    sizes = tokens.with_token_counts(docs, {"item_id": F.col("doc_id")}, F.col("text"))
+    profiles = table(spark, d, "pack_profiles").select("profile", F.col("capacity_tokens").alias("capacity"))
+    return packing.pack(sizes, profiles, n_items=docs.count())
+
+
+@R.add("p6_containers")
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_packed(spark, d).withColumnRenamed("item_id", "doc_id")
+
+
+@R.add("p6_report")
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(_p6_packed(spark, d))
+
+
+# --- p7: mixing sources ---------------------------------------------------------------------
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.with_token_counts(table(spark, d, "documents"), {"doc_id": F.col("doc_id"), "source": F.col("source")}, F.col("text"))
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+
+
+@R.add("p7_mixture")
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[0]
+
+
+@R.add("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[1]
