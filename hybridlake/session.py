@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,9 @@ def free_shuffles(spark: SparkSession) -> None:
     """Has Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
     It acts when the driver collects its garbage, which may else be long after a lineage was cut.
+    What the first collection unlinks, the second lets go.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
