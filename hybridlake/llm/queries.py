@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import mixing, near_dup, packing, splitting, tokens
+from hybridlake.llm import mixing, near_dup, packing, quality, splitting, tokens
 from hybridlake.plans.registry import Registry
 from hybridlake.sources.tables import table
 
@@ -110,3 +110,20 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 @R.add("p7_shares")
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d)[1]
+
+
+# --- p8: text quality -----------------------------------------------------------------------
+
+
+def _p8_scored(spark: SparkSession, d: str) -> DataFrame:
+    return quality.outlier_scores(quality.statistics(table(spark, d, "documents"), F.col("doc_id"), F.col("lang"), F.col("text")))
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.found(_p8_scored(spark, d)).select("doc_id")
+
+
+@R.add("p8_statistics")
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_scored(spark, d)
