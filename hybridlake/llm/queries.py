@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import mixing, near_dup, packing, quality, splitting, tokens
+from hybridlake.llm import doc_pairs, mixing, near_dup, packing, quality, splitting, tokens
 from hybridlake.plans.registry import Registry
 from hybridlake.sources.tables import table
 
@@ -127,3 +127,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @R.add("p8_statistics")
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _p8_scored(spark, d)
+
+
+# --- p4: functions with their documentation -------------------------------------------------
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return doc_pairs.pairs(table(spark, d, "nodes")).select("node_id").where("node_id is not null").distinct()
+
+
+@R.add("p4_pairs")
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return doc_pairs.one_per_node(doc_pairs.pairs(table(spark, d, "nodes")))
