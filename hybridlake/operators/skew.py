@@ -27,3 +27,17 @@ def all_salts(key: Column, hot: list, salts: int) -> Column:
     if not hot:
         return F.array(F.lit(0))
     return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+
+
+def join_by_count(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, share: float = HOT_SHARE) -> DataFrame:
+    """left joined (inner) with right, whose keys are unique and whose column n counts left's rows of each.
+
+    Keys with more than share * total rows are fewer than 1 / share if total is the rows' number,
+    so they are broadcast and their rows of left never shuffled; the others have no hot key left.
+    """
+    often = F.col(n) > max(1, int(share * total))
+    mark = "_hot"
+    marked = left.join(F.broadcast(right.where(often).withColumn(mark, F.lit(True))), keys, "left")
+    cold = left.columns
+    rest = marked.where(F.col(mark).isNull()).select(*cold).join(right.where(~often), keys)
+    return marked.where(mark).drop(mark).unionByName(rest)
