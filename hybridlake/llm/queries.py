@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridlake.llm import doc_pairs, mixing, near_dup, packing, quality, splitting, tokens
+from hybridlake.llm import code_origin, doc_pairs, mixing, near_dup, packing, quality, splitting, tokens
 from hybridlake.plans.registry import Registry
 from hybridlake.sources.tables import table
 
@@ -140,3 +140,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @R.add("p4_pairs")
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return doc_pairs.one_per_node(doc_pairs.pairs(table(spark, d, "nodes")))
+
+
+# --- p2: files that weren't written by hand -------------------------------------------------
+
+
+def _p2_origins(spark: SparkSession, d: str) -> DataFrame:
+    return code_origin.file_origins(table(spark, d, "file_cache"), table(spark, d, "nodes"))
+
+
+@R.add("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_origins(spark, d).where("origin != 'hand-written'").select("file_path")
+
+
+@R.add("p2_origins")
+def p2_origins(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_origins(spark, d)
