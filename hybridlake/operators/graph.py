@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hybridlake.session import cut_lineage
@@ -36,3 +36,213 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         last = sign
     out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).unionByName(alone.select("id", F.col("id").alias("component")))
     return out.groupBy("id").agg(F.min("component").alias("component"))
+
+
+# Which node types become which vertex labels, and the endpoint pairs a relation may join.
+LABELS = {"function": "Function", "method": "Function", "class": "Class", "module": "Module", "file": "Module", "external": "External"}
+RELATIONS = {"CALLS": "Calls", "CONTAINS": "Contains", "DEFINES": "Defines", "IMPORTS": "Imports"}
+ALLOWED = {
+    "Imports": [("Module", "Module"), ("Module", "External")],
+    "Calls": [(s, t) for s in ("Function", "Class") for t in ("Function", "Class", "External")] + [("Module", t) for t in ("External", "Function", "Class")],
+    "Defines": [("Module", "Function"), ("Module", "Class")],
+    "Contains": [("Class", "Function"), ("Class", "Class")],
+}
+UNRESOLVED, UNRESOLVED_FQN = "__unresolved__::", "__unresolved_fqn__::"
+
+
+def label(kind):
+    """The vertex label of a node type in any case; null for types outside the graph."""
+    out = F.lit(None).cast("string")
+    for name, value in LABELS.items():
+        out = F.when(F.lower(kind) == name, value).otherwise(out)
+    return out
+
+
+def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with resolved ends: (source_fqn, source_type, target, target_type, type). A target that is no
+    node stays as it is, of type EXTERNAL, if it's marked unresolved; others are dropped. nodes: unique ids."""
+    n1 = nodes.select(F.col("id").alias("source_id"), F.col("fqn").alias("source_fqn"), F.col("type").alias("source_type"))
+    n2 = nodes.select(F.col("id").alias("target_id"), F.col("fqn").alias("_fqn"), F.col("type").alias("_type"))
+    joined = edges.select("source_id", "target_id", "type").join(n1, "source_id").join(n2, "target_id", "left")
+    kept = joined.where(F.col("_type").isNotNull() | F.col("target_id").startswith("__unresolved"))
+    return kept.select("source_fqn", "source_type", F.coalesce("_fqn", "target_id").alias("target"), F.coalesce("_type", F.lit("EXTERNAL")).alias("target_type"), "type")
+
+
+def typed_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (src_label, src, rel, dst_label, dst) whose ends the relation allows."""
+    rel = F.create_map(*[F.lit(x) for p in RELATIONS.items() for x in p])
+    e = graph_edges(edges, nodes).select(
+        label(F.col("source_type")).alias("src_label"), F.col("source_fqn").alias("src"), rel[F.col("type")].alias("rel"), label(F.col("target_type")).alias("dst_label"), F.col("target").alias("dst")
+    )
+    ok = F.concat_ws(">", "rel", "src_label", "dst_label").isin(*[f"{r}>{s}>{t}" for r, pairs in ALLOWED.items() for s, t in pairs])
+    return e.where("rel is not null and src_label is not null and dst_label is not null").where(ok).distinct()
+
+
+def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(callee_id, caller_id, type): edges to a node's id or to its unresolved name; two equi-joins instead of an OR."""
+    by_id = edges.join(nodes.select(F.col("id").alias("callee_id")), F.col("target_id") == F.col("callee_id"))
+    by_name = edges.join(nodes.select(F.col("id").alias("callee_id"), F.concat(F.lit(UNRESOLVED), F.col("name")).alias("_u")), F.col("target_id") == F.col("_u"))
+    columns = ["callee_id", F.col("source_id").alias("caller_id"), "type"]
+    return by_id.select(*columns).unionByName(by_name.select(*columns)).distinct()
+
+
+def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(caller_id, callee_id, type): the nodes an edge's target names, by id or unresolved name."""
+    return callers(edges, nodes).select(F.col("caller_id"), "callee_id", "type")
+
+
+def neighbors(graph: DataFrame, relations: list[str]) -> DataFrame:
+    """Distinct (node, neighbor) over the relations, in both directions."""
+    e = graph.where(F.col("rel").isin(*relations)).select("src", "dst")
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("neighbor")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("neighbor"))).distinct()
+
+
+def resolve_by_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(edge_id, node_id) for targets `a.b.Name` of dotted imports: a Python node whose fqn holds a/b.py::Name;
+    of several, the one of the greatest id. Equal names are joined first, the rest is a filter."""
+    dotted = F.substring("target_id", len(UNRESOLVED_FQN) + 1, 10_000)
+    e = edges.where(F.col("target_id").startswith(UNRESOLVED_FQN)).select(F.col("id").alias("edge_id"), F.split(dotted, r"\.").alias("p"))
+    e = e.where(F.size("p") > 1).select("edge_id", F.element_at("p", -1).alias("name"), F.concat(F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/"), F.lit(".py::"), F.element_at("p", -1)).alias("part"))
+    n = nodes.where(F.lower("language") == "python").select("name", "fqn", F.col("id").alias("node_id"))
+    return e.join(n, "name").where(F.contains("fqn", F.col("part"))).groupBy("edge_id").agg(F.max("node_id").alias("node_id"))
+
+
+def resolve_by_name(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(edge_id, node_id) for unresolved names: a node of the source's language first, else of any; of several the greatest id.
+    Names are reduced to one node per language before the join, so a common name is no hot key of nodes."""
+    e = edges.where(F.col("target_id").startswith(UNRESOLVED)).select(F.col("id").alias("edge_id"), "source_id", F.substring("target_id", len(UNRESOLVED) + 1, 10_000).alias("name"))
+    per_language = nodes.where("name is not null").groupBy("name", "language").agg(F.max("id").alias("same"))
+    any_language = per_language.groupBy("name").agg(F.max("same").alias("other"))
+    source = nodes.select(F.col("id").alias("source_id"), "language")
+    known = e.join(source, "source_id", "left").join(per_language, ["name", "language"], "left").join(any_language, "name", "left")
+    return known.select("edge_id", F.coalesce("same", "other").alias("node_id")).where("node_id is not null")
+
+
+def apply_resolution(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """edges with resolved targets; where that would repeat (source, target, type), the edge that had it,
+    else the least id, takes it and the others keep their old target."""
+    joined = edges.join(found.withColumnRenamed("edge_id", "id"), "id", "left").withColumn("_new", F.coalesce("node_id", "target_id"))
+    first = F.row_number().over(Window.partitionBy("source_id", "_new", "type").orderBy((F.col("_new") != F.col("target_id")).cast("int"), "id"))
+    return joined.withColumn("_n", first).withColumn("target_id", F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.col("target_id"))).drop("_n", "_new", "node_id")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, id, hop): vertices reached along src -> dst within a number of hops, at their least hop.
+
+    One join and one anti-join per hop; edges: (src, dst), starts: (start).
+    """
+    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    seen = cut_lineage(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("hop")).distinct())
+    edge_of = seen
+    for hop in range(1, hops + 1):
+        step = edge_of.join(e, edge_of["id"] == e["src"]).select("start", F.col("dst").alias("id")).distinct()
+        edge_of = cut_lineage(step.join(seen, ["start", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        if edge_of.isEmpty():
+            break
+        seen = seen.unionByName(edge_of)
+    return seen
+
+
+def co_changes(commits: DataFrame, least: int = 2) -> DataFrame:
+    """(file_a < file_b, shared_commits) of files in the same commit; commits: (commit, file), each pair once."""
+    c = commits.where("commit is not null and file is not null").distinct()
+    a, b = c.withColumnRenamed("file", "file_a"), c.withColumnRenamed("file", "file_b")
+    return a.join(b, "commit").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("shared_commits")).where(F.col("shared_commits") >= least)
+
+
+def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """(id, rank) after a fixed number of rounds, starting at 1/n; ranks of vertices without out-edges aren't redistributed.
+
+    edges: (src, dst), distinct. Each round is one join and one partial sum; written every fifth round.
+    """
+    e = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    vertices = cut_lineage(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
+    n = vertices.count()
+    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+    weighted = cut_lineage(e.join(out, "src").select("src", "dst", (1 / F.col("_out")).alias("w")))
+    ranks = vertices.withColumn("rank", F.lit(1.0 / max(1, n)))
+    for i in range(rounds):
+        given = weighted.join(ranks, weighted["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
+        ranks = vertices.join(given, vertices["id"] == given["dst"], "left").select("id", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"))
+        if i % 5 == 4:
+            ranks = cut_lineage(ranks)
+    return ranks
+
+
+def topological_levels(edges: DataFrame) -> DataFrame | None:
+    """(id, level) with level 0 for vertices without in-edges, by peeling; None if there is a cycle."""
+    e = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    left = cut_lineage(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
+    done, level = None, 0
+    while not left.isEmpty():
+        ready = cut_lineage(left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
+        if ready.isEmpty():
+            return None
+        part = ready.withColumn("level", F.lit(level))
+        done = part if done is None else done.unionByName(part)
+        left = cut_lineage(left.join(ready, "id", "left_anti"))
+        e = cut_lineage(e.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"))
+        level += 1
+    return done if done is not None else left.withColumn("level", F.lit(0))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): strongly connected components, each named by its least id.
+
+    Forward-backward colouring: every vertex takes the least id that reaches it; the vertices that
+    reach back to their colour's root within the colour form its component and leave the graph.
+    """
+    e = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct())
+    left = cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct())
+    done = None
+    while True:
+        # Vertices that nothing enters, or that nothing leaves, are components of their own.
+        while True:
+            inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
+            kept = cut_lineage(e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+            shrunk = kept.count() < e.count()
+            e = kept
+            if not shrunk:
+                break
+        core = e.select(F.col("src").alias("id")).distinct()
+        alone = cut_lineage(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
+        done = alone if done is None else done.unionByName(alone)
+        left = cut_lineage(core)
+        if left.isEmpty():
+            break
+        color = cut_lineage(left.withColumn("c", F.col("id")))
+        while True:
+            better = e.join(color, e["src"] == color["id"]).groupBy("dst").agg(F.min("c").alias("m"))
+            nxt = cut_lineage(color.join(better, color["id"] == better["dst"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            moved = nxt.where("moved").isEmpty()
+            color = nxt.drop("moved")
+            if moved:
+                break
+        inside = cut_lineage(e.join(color.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        back = cut_lineage(color.where("id = c"))
+        front = back
+        while True:
+            step = inside.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
+            front = cut_lineage(step.join(back, ["id", "c"], "left_anti"))
+            if front.isEmpty():
+                break
+            back = cut_lineage(back.unionByName(front))
+        part = back.select("id", F.col("c").alias("component"))
+        done = done.unionByName(part)
+        left = cut_lineage(left.join(back, "id", "left_anti"))
+        e = cut_lineage(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    out = done
+    # The root is the least id that reaches the component; its own least id names it.
+    least = out.groupBy("component").agg(F.min("id").alias("_m"))
+    return out.join(least, "component").select("id", F.col("_m").alias("component"))
+
+
+def coupling(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """(module, ca, ce, instability): modules that depend on it, that it depends on, and ce / (ca + ce); edges: (src, dst) of ids, modules: (id, module)."""
+    m1, m2 = modules.select(F.col("id").alias("src"), F.col("module").alias("_a")), modules.select(F.col("id").alias("dst"), F.col("module").alias("_b"))
+    pairs = edges.select("src", "dst").join(m1, "src").join(m2, "dst").where("_a != _b").select("_a", "_b").distinct()
+    ce = pairs.groupBy(F.col("_a").alias("module")).agg(F.count(F.lit(1)).alias("ce"))
+    ca = pairs.groupBy(F.col("_b").alias("module")).agg(F.count(F.lit(1)).alias("ca"))
+    both = modules.select("module").where("module is not null").distinct().join(ca, "module", "left").join(ce, "module", "left").na.fill(0, ["ca", "ce"])
+    total = F.col("ca") + F.col("ce")
+    return both.select("module", "ca", "ce", F.when(total == 0, 0.0).otherwise(F.col("ce") / total).alias("instability"))
