@@ -186,6 +186,9 @@ def topological_levels(edges: DataFrame) -> DataFrame | None:
     return done if done is not None else left.withColumn("level", F.lit(0))
 
 
+_STEPS = 4
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components, each named by its least id.
 
@@ -210,23 +213,26 @@ def strong_components(edges: DataFrame) -> DataFrame:
         left = cut_lineage(core)
         if left.isEmpty():
             break
-        color = cut_lineage(left.withColumn("c", F.col("id")))
+        color, sign = left.withColumn("c", F.col("id")), None
         while True:
-            better = e.join(color, e["src"] == color["id"]).groupBy("dst").agg(F.min("c").alias("m"))
-            nxt = cut_lineage(color.join(better, color["id"] == better["dst"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-            moved = nxt.where("moved").isEmpty()
-            color = nxt.drop("moved")
-            if moved:
+            # Several steps of propagation for each one that is written.
+            for _ in range(_STEPS):
+                better = e.join(color, e["src"] == color["id"]).groupBy("dst").agg(F.min("c").alias("m"))
+                color = color.join(better, color["id"] == better["dst"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
+            color = cut_lineage(color)
+            last, sign = sign, color.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
+            if sign == last:
                 break
         inside = cut_lineage(e.join(color.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(color.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        back = cut_lineage(color.where("id = c"))
-        front = back
+        back, size = color.where("id = c"), -1
         while True:
-            step = inside.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            front = cut_lineage(step.join(back, ["id", "c"], "left_anti"))
-            if front.isEmpty():
+            for _ in range(_STEPS):
+                step = inside.join(back.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c")
+                back = back.unionByName(step).distinct()
+            back = cut_lineage(back)
+            last, size = size, back.count()
+            if size == last:
                 break
-            back = cut_lineage(back.unionByName(front))
         part = back.select("id", F.col("c").alias("component"))
         done = done.unionByName(part)
         left = cut_lineage(left.join(back, "id", "left_anti"))
