@@ -209,14 +209,14 @@ def keyword_density(spark: SparkSession, d: str) -> DataFrame:
     "reading_ease",
     """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w, len(regexp_split_to_array(text, '[.!?]+')) AS s FROM documents WHERE text IS NOT NULL),
     y AS (SELECT doc_id, len(w) AS n, s, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiou]+')) - CASE WHEN ends_with(x, 'e') THEN 1 ELSE 0 END))) AS y FROM w WHERE len(w) > 0)
-    SELECT doc_id, n AS n_words, s AS n_sentences, round(greatest(0, least(100, 206.835e0 - 1.015e0 * n / s - 84.6e0 * y / n))::DOUBLE, 4) AS ease FROM y""",
+    SELECT doc_id, n AS n_words, s AS n_sentences, round(greatest(0, least(100, 206.835e0 - 1.015e0 * n / s - 84.6e0 * y / n))::DOUBLE, 9) AS ease FROM y""",
 )
 def reading_ease(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
     t = table(spark, d, "documents").where("text is not null").select("doc_id", words.alias("w"), F.size(F.split("text", "[.!?]+")).alias("s")).where("size(w) > 0")
     y = F.aggregate("w", F.lit(0), lambda a, x: a + T.syllables(x))
     ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * F.size("w") / F.col("s") - 84.6 * y / F.size("w")))
-    return t.select("doc_id", F.size("w").cast("long").alias("n_words"), F.col("s").cast("long").alias("n_sentences"), F.round(ease, 4).alias("ease"))
+    return t.select("doc_id", F.size("w").cast("long").alias("n_words"), F.col("s").cast("long").alias("n_sentences"), F.round(ease, 9).alias("ease"))
 
 
 _GOOD, _BAD = ["healthy", "robust", "fresh", "early"], ["broken", "stale", "slow", "late"]
