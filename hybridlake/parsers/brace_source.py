@@ -16,7 +16,8 @@ _KEYWORDS = frozenset("if for while switch catch return else do new throw sizeof
 _TYPES = {
     "java": r"\b(class|interface|enum|record)\s+(\w+)", "csharp": r"\b(class|interface|enum|record|struct)\s+(\w+)", "c": r"\b(class|struct|enum|union)\s+(\w+)(?=[^;(){}]*\{)", "typescript": r"\b(class|interface|enum)\s+(\w+)",
 }
-_CALLABLE = re.compile(r"(?P<head>(?:^|(?<=[;{}\n]))[ \t]*(?:[\w<>\[\],.*&?:@~ \t]+?[\s*&]+)?)(?P<name>~?\w+)\s*(?:<[^<>()]*>)?\((?P<args>[^(){};]*)\)\s*(?P<tail>(?::\s*[\w<>\[\]|., ]+|\bconst\b|\bthrows\s+[\w., ]+|\bnoexcept\b|where\s+[^{;]+|\s)*)\{", re.M)
+_NAMED = re.compile(r"(~?\w+)\s*(?:<[\w\s,.]*>\s*)?\(")
+_OPENS = re.compile(r"[\w\s:,.<>\[\]|&?]{0,300}\{")
 _ARROW = re.compile(r"\b(?:const|let)\s+(?P<name>\w+)\s*(?::[^=\n]+)?=\s*(?P<head>async\s+)?\(?(?P<args>[^()=]*)\)?\s*(?::\s*[\w<>\[\]|., ]+)?=>\s*\{")
 _IMPORT = {"typescript": re.compile(r"\bimport\b[^;'\"`]*['\"]([^'\"]+)['\"]"), "csharp": re.compile(r"\busing\s+([\w.]+)\s*;")}
 _PROPERTY = re.compile(r"^[ \t]*(?:public|protected|private|internal)[\w<>\[\],.? \t]*[ \t](\w+)\s*\{\s*(?:get|set|init)\b", re.M)
@@ -38,9 +39,36 @@ def block_end(code: str, opening: int) -> int:
     return len(code)
 
 
+def _closing(code: str, opening: int) -> int:
+    """Just past the parenthesis that closes the one at `opening`, if it does before any brace or semicolon; else -1."""
+    depth = 0
+    for m in re.compile(r"[(){};]").finditer(code, opening):
+        if m[0] in "{};":
+            return -1
+        depth += 1 if m[0] == "(" else -1
+        if depth == 0:
+            return m.end()
+    return -1
+
+
+def callables(code: str) -> list[tuple[int, int, int, str]]:
+    """(start of the head, start of the name, opening brace, name) of each `name(...) ... {` that is no statement or call."""
+    out = []
+    for m in _NAMED.finditer(code):
+        name = m[1]
+        close = _closing(code, m.end() - 1) if name not in _KEYWORDS and not name.isdigit() else -1
+        opens = _OPENS.match(code, close) if close > 0 else None
+        if opens:
+            start = 1 + max(code.rfind(c, 0, m.start()) for c in ";{}\n")
+            head = code[start : m.start()]
+            if "=" not in head and "(" not in head and not head.rstrip().endswith(".") and not set(head.split()) & {"new", "return", "else", "throw", "case"}:
+                out.append((start, m.start(), opens.end() - 1, name))
+    return out
+
+
 def doc_above(source: str, at: int) -> str | None:
     """The comment that ends right above a position, without its marks."""
-    m = re.search(r"(?:/\*((?:(?!\*/).)*)\*/|((?:^[ \t]*///?[^\n]*\n)+))[ \t]*\n?(?:[ \t]*@[^\n]*\n)*[ \t]*\Z", source[:at], re.S | re.M)
+    m = re.search(r"(?:/\*((?:(?!\*/).)*)\*/|((?:^[ \t]*///?[^\n]*\n)+))[ \t]*\n?(?:[ \t]*@[^\n]*\n)*[ \t]*\Z", source[max(0, at - 4000) : at], re.S | re.M)
     if not m:
         return None
     text = m[1] if m[1] is not None else m[2]
@@ -72,16 +100,14 @@ def parse(path: str, source: str, language: str) -> Parsed:
                 inherits = i == 0 and m[1] in ("class", "struct", "record") and not re.match(r"I[A-Z]", base) and "implements" not in heritage.split(base)[0]
                 out.link(at, f"__unresolved__::{base}", "INHERITS" if inherits else "IMPLEMENTS", line(m.start()))
 
-    found = [*_CALLABLE.finditer(code), *(_ARROW.finditer(code) if language == "typescript" else ())]
-    for m in sorted(found, key=lambda m: m.start("name")):
-        name, head = m["name"], m["head"] or ""
-        if name in _KEYWORDS or set(head.split()) & {"new", "return", "else", "throw", "case"}:
-            continue
-        opening = m.end() - 1
+    found = callables(code)
+    if language == "typescript":
+        found += [(m.start(), m.start("name"), m.end() - 1, m["name"]) for m in _ARROW.finditer(code)]
+    for start, named, opening, name in sorted(found, key=lambda f: f[1]):
         end = block_end(code, opening)
-        start = m.start("head") if m.re is _CALLABLE else m.start()
+        head = code[start:named]
         start += len(source[start:]) - len(source[start:].lstrip())
-        holder = max((t for t in types if t[0] < m.start("name") < t[1]), default=None, key=lambda t: t[0])
+        holder = max((t for t in types if t[0] < named < t[1]), default=None, key=lambda t: t[0])
         body, words = source[start:end], head.split()
         at = out.add(
             "method" if holder else "function", name, f"{holder[3] if holder else path}::{name}", line(start), line(end - 1), source[start:opening].strip(), body, docstring=doc_above(source, start),
