@@ -36,10 +36,15 @@ LEVELS = tuple(
 )
 
 
+def _joined(text: str, at: int) -> bool:
+    """Whether a cut at this place would split a line end or a letter from its marks."""
+    return (text[at] == "\n" and text[at - 1] == "\r") or unicodedata.combining(text[at]) > 0
+
+
 def _safe(text: str, cut: int, least: int) -> int:
     """cut, moved back so that it splits no line end and no combined letter."""
     at = cut
-    while at > max(least, cut - 32) and at < len(text) and ((text[at] == "\n" and text[at - 1] == "\r") or unicodedata.combining(text[at])):
+    while max(least, cut - 32) < at < len(text) and _joined(text, at):
         at -= 1
     return at if at > least else cut
 
@@ -74,7 +79,10 @@ def overlap_start(text: str, piece_start: int, end: int, overlap: int) -> int:
         m = level.search(text, max(piece_start, low - 1), end)
         if m and low <= m.end() < end:
             return m.end()
-    return _safe(text, low, piece_start)
+    at = low
+    while at < end and _joined(text, at):
+        at += 1
+    return at
 
 
 def split_text(text: str, limit: int = 2500, overlap: int = 400) -> list[tuple[int, int, int]]:
