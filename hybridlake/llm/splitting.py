@@ -2,8 +2,8 @@
 
 A text is cut along a hierarchy of boundaries: sections (headings, rules), paragraphs (blank
 lines), lines and sentences, words, characters. A part that fits is kept whole; only a part that
-doesn't is cut at the next finer level. Parts are then packed greedily: each piece takes parts
-until the next one would pass the limit. A piece begins with up to `overlap` characters of the end
+doesn't is cut at the next finer level. Parts are then packed greedily: a piece takes parts until the next
+one would pass the limit, and ends at the coarsest boundary of its second half. A piece begins with up to `overlap` characters of the end
 of the one before, from the first sentence, else word, that starts there.
 
 Bodies of the pieces (without overlap) tile the text: joined, they give it back exactly. Lengths
@@ -49,23 +49,23 @@ def _safe(text: str, cut: int, least: int) -> int:
     return at if at > least else cut
 
 
-def atoms(text: str, start: int, end: int, room: int, level: int = 0) -> Iterator[int]:
-    """Ends of consecutive parts of text[start:end], none longer than room."""
+def atoms(text: str, start: int, end: int, room: int, level: int = 0, outer: int = 0) -> Iterator[tuple[int, int]]:
+    """(end, level of the boundary there) of consecutive parts of text[start:end], none longer than room."""
     if end - start <= room:
-        yield end
+        yield end, outer
         return
     if level == len(LEVELS):
         while end - start > room:
             start = _safe(text, start + room, start)
-            yield start
-        yield end
+            yield start, level
+        yield end, outer
         return
     last = start
     for m in LEVELS[level].finditer(text, start, end):
         if last < m.end() < end:
-            yield from atoms(text, last, m.end(), room, level + 1)
+            yield from atoms(text, last, m.end(), room, level + 1, level)
             last = m.end()
-    yield from atoms(text, last, end, room, level + 1)
+    yield from atoms(text, last, end, room, level + 1, outer)
 
 
 def overlap_start(text: str, piece_start: int, end: int, overlap: int) -> int:
@@ -90,15 +90,21 @@ def split_text(text: str, limit: int = 2500, overlap: int = 400) -> list[tuple[i
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     pieces: list[tuple[int, int, int]] = []
-    start = body = end = 0
-    for stop in atoms(text, 0, len(text), limit - overlap):
-        if stop - start > limit:
-            pieces.append((start, body, end))
-            tail = overlap_start(text, start, end, overlap)
-            start, body = (tail, end) if stop - tail <= limit else (end, end)
-        end = stop
-    if end > body:
-        pieces.append((start, body, end))
+    start = body = 0
+    ends: list[tuple[int, int]] = []  # boundaries taken since body
+    for stop, level in atoms(text, 0, len(text), limit - overlap):
+        while ends and stop - start > limit:
+            # The coarsest boundary of the piece's second half, the last of several; else the last one.
+            late = [(-lv, e) for e, lv in ends if e - start > limit // 2]
+            cut = max(late)[1] if late else ends[-1][0]
+            pieces.append((start, body, cut))
+            ends = [x for x in ends if x[0] > cut]
+            tail = overlap_start(text, start, cut, overlap)
+            first = ends[0][0] if ends else stop
+            start, body = (tail, cut) if first - tail <= limit else (cut, cut)
+        ends.append((stop, level))
+    if ends and ends[-1][0] > body:
+        pieces.append((start, body, ends[-1][0]))
     return pieces
 
 
