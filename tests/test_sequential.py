@@ -1,4 +1,5 @@
 import json
+import os
 
 import pandas as pd
 from hypothesis import given, settings
@@ -67,6 +68,7 @@ def _stream(spark, path, rows, schema, build, mode="append"):
     path.mkdir()
     for i, part in enumerate(rows):
         (path / f"{i}.json").write_text("\n".join(json.dumps(r) for r in part))
+        os.utime(path / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in order of age
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
     name = "out_" + path.name
     q = build(source).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(path) + "_ckpt").trigger(availableNow=True).start()
