@@ -295,7 +295,7 @@ _PR = "".join(
     f"{_DIRECTED}, v AS MATERIALIZED (SELECT src AS id FROM s UNION SELECT dst FROM s), n AS (SELECT count(*) AS n FROM v), o AS MATERIALIZED (SELECT src, count(*) AS d FROM s GROUP BY src), r0 AS MATERIALIZED (SELECT id, 1.0 / n.n AS rank FROM v, n){_PR} SELECT id, round(rank::DOUBLE, 9) AS rank FROM r5",
 )
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(_directed(spark, d), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(_directed(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @R.add("coupling", f"WITH {_NODES}, {_EDGES}, p AS (SELECT DISTINCT a.module AS x, b.module AS y FROM e JOIN one a ON a.id = e.source_id JOIN one b ON b.id = e.target_id WHERE a.module <> b.module), m AS (SELECT DISTINCT module FROM one WHERE module IS NOT NULL), c AS (SELECT m.module, (SELECT count(*) FROM p WHERE y = m.module) AS ca, (SELECT count(*) FROM p WHERE x = m.module) AS ce FROM m) SELECT module, ca, ce, round(CASE WHEN ca + ce = 0 THEN 0.0 ELSE ce / (ca + ce) END::DOUBLE, 6) AS instability FROM c")

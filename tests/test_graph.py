@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 from hybridlake.operators import graph
+from hybridlake.plans import store_queries
 
 
 def edges(spark, pairs):
@@ -52,3 +54,35 @@ def test_resolution_never_repeats_an_edge(spark):
     assert {tuple(x) for x in graph.resolve_by_path(e, n).collect()} == {(5, "n1")}
     out = {x.id: x.target_id for x in graph.apply_resolution(e, found).collect()}
     assert out[1] == "n1" and out[2] == "__unresolved__::f" and out[3] == "n2" and out[4] == "__unresolved__::g"
+
+
+def brute_ranks(pairs, rounds=100, damping=0.85):
+    pairs = set(pairs)
+    ids = {v for p in pairs for v in p}
+    out = Counter(a for a, _ in pairs)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(rounds):
+        new = dict.fromkeys(ids, (1 - damping) / len(ids))
+        for a, b in pairs:
+            new[b] += damping * rank[a] / out[a]
+        rank = new
+    return rank
+
+
+def test_pagerank_runs_all_rounds(spark):
+    path = [(f"p{i}", f"p{i + 1}") for i in range(20)]
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r0", "r3"), ("p4", "r0"), ("x", "x")]
+    # The ring alone keeps moving for more than 100 rounds, the path settles after 20.
+    for pairs in (path, path + ring):
+        got = {x.id: x["rank"] for x in graph.pagerank(edges(spark, pairs)).collect()}
+        want = brute_ranks(pairs)
+        assert got.keys() == want.keys() and max(abs(got[v] - want[v]) for v in want) < 1e-11
+    few = {x.id: x["rank"] for x in graph.pagerank(edges(spark, path), rounds=3).collect()}
+    assert max(abs(few[v] - r) for v, r in brute_ranks(path, 3).items()) < 1e-12
+
+
+def test_pagerank_query_runs_all_rounds(spark):
+    d = "/root/testdata/sf0.001"
+    want = brute_ranks([tuple(x) for x in store_queries._directed(spark, d).collect()])
+    got = {x.id: x["rank"] for x in store_queries.pagerank(spark, d).collect()}
+    assert got.keys() == want.keys() and max(abs(got[v] - want[v]) for v in want) < 1e-9
