@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybridlake.session import cut_lineage
@@ -137,16 +137,15 @@ def growth(df: DataFrame, group: str, at: str, value: str) -> DataFrame:
     return g.withColumns({"change": change, "pct": F.when(F.col("first") != 0, change / F.col("first") * 100)})
 
 
-def pattern_scan(df: DataFrame, key: Column, text: Column, patterns: list[tuple[str, str, str]], cap: int) -> DataFrame:
-    """(key, line_no, pattern, severity, snippet): lines that match; at most `cap` findings per text (a feature: reports stay short).
+def pattern_scan(df: DataFrame, key: Column, text: Column, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """(key, line_no, pattern, severity, snippet): every line that matches, once per pattern.
 
     patterns: (name, severity, regular expression). Matches are masked in the snippet but for three characters.
     """
     lines = df.select(key.alias("key"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
     rules = F.array(*[F.when(F.col("line").rlike(rx), F.struct(F.lit(name).alias("pattern"), F.lit(sev).alias("severity"), F.regexp_replace(F.col("line"), rf"({rx})", "***").alias("masked"))) for name, sev, rx in patterns])
     hits = lines.select("key", (F.col("i") + 1).alias("line_no"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r"))
-    n = F.row_number().over(Window.partitionBy("key").orderBy("line_no", "r.pattern"))
-    return hits.withColumn("_n", n).where(F.col("_n") <= cap).select("key", "line_no", "r.pattern", "r.severity", F.substring("r.masked", 1, 80).alias("snippet"))
+    return hits.select("key", "line_no", "r.pattern", "r.severity", F.substring("r.masked", 1, 80).alias("snippet"))
 
 
 def severity_score(findings: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:

@@ -238,7 +238,7 @@ _SCAN = (
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
-    return A.pattern_scan(table(spark, d, "documents").where("text is not null"), F.col("doc_id"), F.col("text"), _PATTERNS, 20).withColumnRenamed("key", "doc_id")
+    return A.pattern_scan(table(spark, d, "documents").where("text is not null"), F.col("doc_id"), F.col("text"), _PATTERNS).withColumnRenamed("key", "doc_id")
 
 
 @R.add("pattern_scan", _SCAN + " SELECT doc_id, line_no::INTEGER AS line_no, pattern, severity, snippet FROM f")
