@@ -10,8 +10,8 @@ P(X <= x) and P(X >= x) follow, and a document's outlier score is the sum over s
 Beside it, each line is judged by itself: prose if it has enough words and enough of them are
 function words of any of the stated languages (or carry Korean particles and endings); list
 entries, table rows, code, encoded and garbled lines and repetition aren't. `share_prose` is the
-share of non-blank characters that is prose. `found` takes documents whose score stands out and
-confirms them by that share.
+share of non-blank characters that is prose. `found` decides by that share alone: what a language
+consists of mostly has no outlying score, prose or not.
 
 Defined results: null and blank texts have no words, null shares and no score;
 languages compare by their first two letters in lower case, unknown ones as `und`; tied values have
@@ -248,10 +248,10 @@ def outlier_scores(stats: DataFrame, least_group: int = 50) -> DataFrame:
     return rows.join(score, "_row", "left").drop("_row")
 
 
-def found(scored: DataFrame, most_prose: float = 0.5, least_score: float = 1.0) -> DataFrame:
-    """Documents whose statistics stand out and of which less than `most_prose` is prose.
+def found(scored: DataFrame, most_prose: float = 0.5) -> DataFrame:
+    """Scored documents of which less than `most_prose` is prose, whatever their score.
 
-    A statistic at its language's median adds ln 2 to the score, so 1 screens out only documents
-    that tie with the bulk of their language in every statistic.
+    A value that a share s of a language has scores at most -ln s, so a least score would drop junk
+    that makes up most of its language.
     """
-    return scored.where((F.col("outlier_score") > least_score) & (F.col("share_prose") < most_prose))
+    return scored.where(F.col("outlier_score").isNotNull() & (F.col("share_prose") < most_prose))

@@ -66,3 +66,10 @@ def test_exact_ranks(spark):
     more = quality.outlier_scores(quality.statistics(prose, F.col("doc_id"), F.col("lang"), F.col("text")))
     assert quality.found(more).count() >= junk
     assert quality.outlier_scores(quality.statistics(df.limit(0), F.col("doc_id"), F.col("lang"), F.col("text"))).count() == 0
+
+
+def test_junk_that_is_most_of_its_language_is_found(spark):
+    rows = [(i, "es", "| 1 | 2 |\n| 3 | 4 |") for i in range(95)] + [(100 + i, "es", f"{PROSE} It is the {i}th of them.") for i in range(5)] + [(200, "es", None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    scored = quality.outlier_scores(quality.statistics(df, F.col("doc_id"), F.col("lang"), F.col("text")))
+    assert {r.doc_id for r in quality.found(scored).collect()} == set(range(95))
