@@ -227,8 +227,8 @@ def tails(values: DataFrame, group: list[str], value: str) -> DataFrame:
     return ranked.withColumn("upto", upto).select(*group, value, "n", F.least(F.col("upto"), F.col("total") - F.col("upto") + F.col("n")).alias("k"), "total").select(*group, value, "n", (F.col("k") / F.col("total")).alias("tail"))
 
 
-def outlier_scores(stats: DataFrame, least_group: int = 50) -> DataFrame:
-    """stats with outlier_score; null for blank documents. Languages of fewer than `least_group` are ranked with the unknown ones."""
+def outlier_scores(stats: DataFrame, least_group: int = 1) -> DataFrame:
+    """stats with outlier_score; null for blank documents. Each language is ranked by itself; with a `least_group` above 1, those of fewer documents are ranked with the unknown ones."""
     rows = cut_lineage(stats.withColumn("_row", F.monotonically_increasing_id()))
     judged = rows.where("share_prose is not null")
     # Two-letter codes: at most 677 rows.

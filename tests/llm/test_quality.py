@@ -73,3 +73,10 @@ def test_junk_that_is_most_of_its_language_is_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     scored = quality.outlier_scores(quality.statistics(df, F.col("doc_id"), F.col("lang"), F.col("text")))
     assert {r.doc_id for r in quality.found(scored).collect()} == set(range(95))
+
+
+def test_small_languages_are_ranked_by_themselves(spark):
+    rows = [(i, "de" if i < 5 else None, f"{PROSE} " * (1 + i % 3) + "- a\n" * (i % 4)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = quality.outlier_scores(quality.statistics(df, F.col("doc_id"), F.col("lang"), F.col("text"))).collect()
+    assert sorted(round(r.outlier_score, 9) for r in got) == brute_scores(got)
