@@ -24,25 +24,36 @@ def functions_of(spark: SparkSession, d: str) -> DataFrame:
 
 # --- p1: near-duplicate records -------------------------------------------------------------
 
-_P1 = {"k": 3, "threshold": 0.6}
-
-
-def _p1_members(spark: SparkSession, d: str) -> DataFrame:
-    bodies = functions_of(spark, d).select(F.lit("nodes").alias("t"), F.col("id").alias("k"), F.col("raw_body").alias("x"))
-    texts = latest_memories(spark, d).select(F.lit("memories").alias("t"), F.col("key").alias("k"), F.col("content").alias("x"))
-    return near_dup.classes(bodies.unionByName(texts), F.col("t"), F.col("k"), F.col("x"), min_words=30)
-
-
-@R.add("p1_found")
+def _p1_texts(spark: SparkSession, d: str) -> near_dup.Texts:
+    bodies = functions_of(spark, d).select(F.lit("nodes").alias("t"), F.col("id").alias("k"), F.lit(None).cast("long").alias("v"), F.col("raw_body").alias("x"))
+    kept = table(spark, d, "memories").select(F.lit("memories").alias("t"), F.col("key").alias("k"), F.coalesce("updated_at", F.lit(-(2**63))).alias("v"), F.col("content").alias("x"))
+    return near_dup.texts(bodies.unionByName(kept), F.col("t"), F.col("k"), F.col("x"), k=3, min_words=30, version=F.col("v"))
+
+
+# Exact similarities of all records that share a run of three words.
+_P1_SQL = r"""
+WITH x AS (
+  SELECT 'nodes' AS table_name, id AS key, raw_body AS body FROM nodes WHERE type IN ('function', 'method') AND id IS NOT NULL
+  UNION ALL
+  SELECT 'memories', key, m.content FROM (SELECT key, max({'u': updated_at, 'content': content}) AS m FROM memories WHERE key IS NOT NULL GROUP BY key)),
+w AS (SELECT table_name, key, regexp_extract_all(lower(coalesce(body, '')), '[\p{L}\p{N}_]+') AS w FROM x),
+g AS (SELECT DISTINCT table_name, key, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 30),
+n AS (SELECT table_name, key, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT a.table_name, a.key AS key_a, b.key AS key_b, count(*) AS c FROM g a JOIN g b ON a.table_name = b.table_name AND a.g = b.g AND a.key < b.key GROUP BY ALL)
+SELECT c.table_name, key_a, key_b FROM c JOIN n a ON a.table_name = c.table_name AND a.key = key_a JOIN n b ON b.table_name = c.table_name AND b.key = key_b WHERE c >= 0.6 * (a.n + b.n - c)
+"""
+
+
+@R.add("p1_found", _P1_SQL)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    members = _p1_members(spark, d)
-    return near_dup.expand(members, near_dup.similar_classes(members, **_P1))
+    texts = _p1_texts(spark, d)
+    return near_dup.expand(near_dup.members(texts), near_dup.similar_classes(texts, threshold=0.6))
 
 
 @R.add("p1_groups")
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    members = _p1_members(spark, d)
-    return near_dup.groups(members, near_dup.similar_classes(members, **_P1))
+    texts = _p1_texts(spark, d)
+    return near_dup.groups(near_dup.members(texts), near_dup.similar_classes(texts, threshold=0.6))
 
 
 # --- p5: splitting oversized items ----------------------------------------------------------
