@@ -21,6 +21,7 @@ are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,32 +145,42 @@ def functions_in(body: str, name: str, signature: str | None) -> list[Function]:
 
 
 def comments_in(body: str) -> list[Comment]:
-    out = [Comment(unmarked(m[0]), m.start(), m.end(), "before") for m in _BLOCK.finditer(body)]
-    spans = [(c.start, c.end) for c in out]
+    """Comment blocks and runs of comment lines, in order."""
+    out, blocks = [], []
+    for m in _BLOCK.finditer(body):
+        out.append(Comment(unmarked(m[0]), m.start(), m.end(), "before"))
+        blocks.append(m.start())
+    ends = [c.end for c in out]
     for m in _LINES.finditer(body):
-        if not any(s <= m.start() < e for s, e in spans):
+        at = bisect_right(blocks, m.start()) - 1
+        if at < 0 or m.start() >= ends[at]:
             out.append(Comment(unmarked(m[0]), m.start(), m.end(), "before"))
     return sorted(out, key=lambda c: c.start)
 
 
-def weight(c: Comment, f: Function, comments: list[Comment], body: str, name: str) -> float:
-    """Weight of a link; 0 if it's implausible or the comment tells nothing."""
-    if c.kind == "given":
-        near = 1.0
-    elif c.kind == "string":
-        near = 1.2 if c.start == f.body else 0.0
-    else:
-        between = body[c.end : f.start] if c.end <= f.start else None
-        if between is None:
-            return 0.0
-        others = [x for x in comments if x.kind == "before" and c.end <= x.start < f.start]
-        for x in reversed(others):
-            between = between[: x.start - c.end] + between[x.end - c.end :]
-        blank = between.count("\n")
-        near = 1.1 / (1 + len(others) + 0.2 * max(0, blank - 1)) if _BETWEEN.match(between) and blank <= 4 else 0.0
-    if not near or not telling(description(c.text), f.name or name):
+def links_of(f: Function, outer: bool, comments: list[Comment], ends: list[int], strings: dict[int, int], given: int, body: str) -> Iterator[tuple[int, float]]:
+    """(comment, how near) of the comments whose place fits the function: the one the parser gave, a
+    string at its start, and comments in front of it, with only others, marks and up to four lines between."""
+    if outer and given >= 0:
+        yield given, 1.0
+    if f.body in strings:
+        yield strings[f.body], 1.2
+    at, start, lines, passed = bisect_right(ends, f.start) - 1, f.start, 0, 0
+    while at >= 0:
+        c = comments[at]
+        between = body[c.end : start]
+        lines += between.count("\n")
+        if lines > 4 or not _BETWEEN.match(between):
+            return
+        yield at, 1.1 / (1 + passed + 0.2 * max(0, lines - 1))
+        at, start, passed = at - 1, c.start, passed + 1
+
+
+def weight(near: float, c: Comment, f: Function, name: str) -> float:
+    """Weight of a link; 0 if the comment tells nothing."""
+    if not telling(description(c.text), f.name or name):
         return 0.0
-    tags = set(re.findall(rf"(?:[@\\]param|:param|<param name=)\W*(\w+)", c.text))
+    tags = set(re.findall(r"(?:[@\\]param|:param|<param name=)\W*(\w+)", c.text))
     parts = {p.lower() for p in _NAME_PART.findall(f.name)}
     told = {w.lower() for w in _WORD.findall(c.text)}
     return near + (0.5 * len(tags & f.params) / len(tags) if tags else 0.0) + 0.2 * len(parts & told) / max(1, len(parts))
@@ -178,42 +189,73 @@ def weight(c: Comment, f: Function, comments: list[Comment], body: str, name: st
 def assign(weights: list[list[float]]) -> list[int]:
     """Column of each row (or -1) in a one-to-one assignment of greatest total weight; weights are at least 0.
 
-    Shortest augmenting paths with potentials over a matrix padded to a square, O(n^3).
+    Shortest augmenting paths with potentials, the shorter side as rows: O(rows^2 * columns).
     """
     rows, cols = len(weights), len(weights[0]) if weights else 0
-    n = max(rows, cols)
-    cost = lambda i, j: -weights[i][j] if i < rows and j < cols else 0.0
-    u, v, owner = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)
-    for i in range(n):
-        owner[n], j = i, n
-        least, way, done = [float("inf")] * (n + 1), [n] * (n + 1), [False] * (n + 1)
-        while owner[j] != n:
+    if rows > cols:
+        out = [-1] * rows
+        for j, i in enumerate(assign([list(c) for c in zip(*weights, strict=True)]) if cols else []):
+            if i >= 0:
+                out[i] = j
+        return out
+    u, v, owner = [0.0] * rows, [0.0] * (cols + 1), [-1] * (cols + 1)
+    for i in range(rows):
+        owner[cols], j = i, cols
+        least, way, done = [float("inf")] * (cols + 1), [cols] * (cols + 1), [False] * (cols + 1)
+        while owner[j] >= 0:
             done[j] = True
-            r, step, to = owner[j], float("inf"), n
-            for k in range(n):
+            r, step, to = owner[j], float("inf"), cols
+            for k in range(cols):
                 if not done[k]:
-                    reduced = cost(r, k) - u[r] - v[k]
+                    reduced = -weights[r][k] - u[r] - v[k]
                     if reduced < least[k]:
                         least[k], way[k] = reduced, j
                     if least[k] < step:
                         step, to = least[k], k
-            for k in range(n + 1):
+            for k in range(cols + 1):
                 if done[k]:
                     u[owner[k]] += step
                     v[k] -= step
                 else:
                     least[k] -= step
             j = to
-        while j != n:
+        while j != cols:
             owner[j] = owner[way[j]]
             j = way[j]
     out = [-1] * rows
     for j in range(cols):
-        if owner[j] < rows and weights[owner[j]][j] > 0:
+        if owner[j] >= 0 and weights[owner[j]][j] > 0:
             out[owner[j]] = j
     return out
 
 
+def matched(links: dict[int, dict[int, float]], row: int) -> int:
+    """The comment that an assignment of greatest total weight gives to function `row`, or -1.
+
+    links: function -> {comment: weight above 0}. Only the part of the graph that hangs together
+    with the function is solved; a function that shares no comment takes its best one.
+    """
+    of: dict[int, list[int]] = {}
+    for f, cs in links.items():
+        for c in cs:
+            of.setdefault(c, []).append(f)
+    rows, cols, todo = {row}, set(), [row]
+    while todo:
+        for c in links.get(todo.pop(), ()):
+            if c not in cols:
+                cols.add(c)
+                new = [f for f in of[c] if f not in rows]
+                rows.update(new)
+                todo += new
+    if not cols:
+        return -1
+    if len(rows) == 1:
+        return max(links[row], key=lambda c: (links[row][c], -c))
+    rs, cs = sorted(rows), sorted(cols)
+    at = assign([[links[r].get(c, 0.0) for c in cs] for r in rs])[rs.index(row)]
+    return cs[at] if at >= 0 else -1
+
+
 def documented(body: str | None, name: str | None, signature: str | None, docstring: str | None) -> tuple[str, str] | None:
     """(description, where it stood) of the outer function, or None."""
     if not body or body.isspace():
@@ -223,21 +265,23 @@ def documented(body: str | None, name: str | None, signature: str | None, docstr
     name = name or ""
     functions = functions_in(body, name, signature)
     comments = comments_in(body)
+    ends, strings, given = [c.end for c in comments], {}, -1
     for f in functions:
         m = _STRING.match(body, f.body)
-        if m:
+        if m and f.body not in strings:
+            strings[f.body] = len(comments)
             comments.append(Comment(m[2] if m[2] is not None else m[4], f.body, m.end(), "string"))
     if docstring and not docstring.isspace():
+        given = len(comments)
         comments.append(Comment(unmarked(re.sub(r"\r\n?", "\n", docstring)), -1, -1, "given"))
     if not comments:
         return None
-    weights = [[weight(c, f, comments, body, name) if c.kind != "given" or f is functions[0] else 0.0 for c in comments] for f in functions]
-    if not any(weights[0]):
-        return None
-    at = assign(weights)[0]
-    if at < 0:
-        return None
-    return telling(description(comments[at].text), name), comments[at].kind
+    links = {
+        i: {c: w for c, near in links_of(f, i == 0, comments, ends, strings, given, body) if (w := weight(near, comments[c], f, name)) > 0}
+        for i, f in enumerate(functions)
+    }
+    at = matched(links, 0)
+    return (telling(description(comments[at].text), name), comments[at].kind) if at >= 0 else None
 
 
 def pairs(nodes: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Each record draws a uniform number from a hash of seed and id; its number of copies is the inverse
 of the Poisson distribution at that number, capped at the source's largest number of repeats. All
-records of a source share the Poisson mean, and copies grow with it, so the mean is calibrated by
-bisection over grids until the copies drawn hold the source's target tokens (to within what single
-records allow). Copies are then shuffled globally by another hash.
+records of a source share the Poisson mean, and copies grow with it, so the mean is calibrated in two
+passes: a histogram of tokens over the uniform numbers brackets it, then a grid of means within the
+bracket is summed exactly and the one nearest to the source's target tokens is taken. Copies are then shuffled globally by another hash.
 
 The total is the largest at which every source that has records can reach its share:
 min(repeats * tokens / share). Shares are relative to the sources that have both a target and
@@ -31,7 +31,8 @@ from hybridlake.session import cut_lineage
 
 #: The target table is a parameter, not data.
 MOST_SOURCES = 10_000
-GRID, ROUNDS = 33, 5
+#: Steps of the uniform number in the histogram of tokens, over all sources together at most, and means tried exactly.
+MOST_STEPS, ALL_STEPS, GRID = 4096, 1 << 20, 129
 
 
 def source_name(source: Column) -> Column:
@@ -81,6 +82,23 @@ def _drawn(base: DataFrame, means: dict[str, np.ndarray], repeats: dict[str, int
     return out
 
 
+def _bracket(weights: np.ndarray, goal: float, most: int) -> tuple[float, float]:
+    """Means between which the tokens drawn pass the goal, from tokens by equal steps of the uniform number."""
+    edges = np.arange(len(weights) + 1) / len(weights)
+
+    def first(u: np.ndarray) -> float:
+        """The mean at which tokens drawn reach the goal if each step's records all stood at its u."""
+        # A capped Poisson of the largest mean falls short of the cap by less than one in a billion.
+        lo, hi = 0.0, 4.0 * most + 60.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if (weights * poisson_inverse(u, mid, most)).sum() >= goal else (mid, hi)
+        return hi
+
+    # Copies grow with u: upper edges overstate what is drawn, lower edges understate it.
+    return max(0.0, first(edges[1:] - 1e-12) * (1 - 1e-9)), first(edges[:-1])
+
+
 def mix(docs: DataFrame, target_table: DataFrame, *, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """docs: (doc_id, source, n_tokens).
 
@@ -101,17 +119,16 @@ def mix(docs: DataFrame, target_table: DataFrame, *, seed: int = 42) -> tuple[Da
     total = min((repeats[s] * have[s] / share[s] for s in have), default=0.0)
     goal = {s: total * share[s] for s in have}
 
-    low = {s: 0.0 for s in have}
-    # A capped Poisson of this mean falls short of the cap by less than one in a billion.
-    high = {s: 4.0 * repeats[s] + 60.0 for s in have}
     best = {s: (abs(repeats[s] * have[s] - goal[s]), np.inf) for s in have}
-    for _ in range(ROUNDS if have else 0):
-        grid = {s: np.linspace(low[s], high[s], GRID) for s in have}
+    steps = max(64, min(MOST_STEPS, ALL_STEPS // max(1, len(have))))
+    weights = {s: np.zeros(steps, np.int64) for s in have}
+    if have:
+        for s, at, n in base.groupBy("source", F.floor(F.col("u") * steps).cast("int").alias("at")).agg(F.sum("n_tokens")).collect():
+            weights[s][at] = n
+        grid = {s: np.linspace(*_bracket(weights[s], goal[s], repeats[s]), GRID) for s in have}
         for s, got in _drawn(base, grid, repeats).items():
-            at = int(np.searchsorted(got, goal[s]))
-            for g in {max(at - 1, 0), min(at, GRID - 1)}:
-                best[s] = min(best[s], (abs(int(got[g]) - goal[s]), float(grid[s][g])))
-            low[s], high[s] = float(grid[s][max(at - 1, 0)]), float(grid[s][min(at, GRID - 1)])
+            at = int(np.abs(got - goal[s]).argmin())
+            best[s] = min(best[s], (abs(int(got[at]) - goal[s]), float(grid[s][at])))
     mean = {s: best[s][1] for s in have}
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

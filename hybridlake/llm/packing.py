@@ -49,11 +49,13 @@ def assign(tokens: np.ndarray, capacity: int, linear: float = 1.0, quadratic: fl
         spent[at] += cost
         out[full + i] = full + at
     # Containers are emptied into the gaps of fuller ones where all their pieces fit.
-    return _close_gaps(out, tokens, capacity)
+    return _close_gaps(out, tokens, capacity, costs(tokens, linear, quadratic))
 
 
-def _close_gaps(where: np.ndarray, tokens: np.ndarray, capacity: int) -> np.ndarray:
+def _close_gaps(where: np.ndarray, tokens: np.ndarray, capacity: int, cost: np.ndarray) -> np.ndarray:
+    """Each moved piece goes to the least gap it fits; of equal gaps, to the container of least cost."""
     n = int(where.max()) + 1 if len(where) else 0
+    spent = np.bincount(where, weights=cost, minlength=n)
     used = np.bincount(where, weights=tokens, minlength=n).astype(np.int64)
     by = np.argsort(where, kind="stable")
     first = np.searchsorted(where[by], np.arange(n + 1))
@@ -70,34 +72,36 @@ def _close_gaps(where: np.ndarray, tokens: np.ndarray, capacity: int) -> np.ndar
             fits = np.flatnonzero(gap >= tokens[i])
             if not len(fits):
                 break
-            to = int(fits[np.argmin(gap[fits])])
+            least = fits[gap[fits] == gap[fits].min()]
+            to = int(least[np.argmin(spent[least])])
             gap[to] -= tokens[i]
             moves.append((i, to))
         else:
             for i, to in moves:
                 where[i] = to
                 used[to] += tokens[i]
+                spent[to] += cost[i]
                 got[to] = True
                 open_[to] &= used[to] < capacity
             used[b], open_[b] = capacity, False
     return where
 
 
-def pack(docs: DataFrame, profiles: DataFrame, *, n_items: int | None = None, per_shard: int = 4096, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
-    """docs: (item_id, n_tokens); profiles: (profile, capacity); n_items: about the number of docs, to save counting them.
+def pack(docs: DataFrame, profiles: DataFrame, *, per_shard: int = 4096, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+    """docs: (item_id, n_tokens), read twice; profiles: (profile, capacity).
 
     Rows (profile, capacity, shard, container, item_id, piece_no, token_start, n_tokens); a
-    container is named by profile, shard and its number.
+    container is named by profile, shard and its number. A shard holds `per_shard` pieces on average.
     """
     caps = profiles.limit(MOST_PROFILES + 1).collect()
     if len(caps) > MOST_PROFILES or any(not r["capacity"] or r["capacity"] < 1 for r in caps):
         raise ValueError(f"profiles must be at most {MOST_PROFILES} rows with a positive capacity")
-    kinds = F.array(*[F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["capacity"])).alias("capacity")) for r in caps]) if caps else F.array().cast("array<struct<profile:string,capacity:int>>")
-    shards = max(1, -(-(docs.count() if n_items is None else n_items) // per_shard))
+    n_pieces = docs.where("n_tokens > 0").agg(*[F.sum(F.ceil(F.col("n_tokens") / F.lit(int(r["capacity"])))) for r in caps]).first() if caps else []
+    kinds = F.array(*[F.struct(F.lit(r["profile"]).alias("profile"), F.lit(int(r["capacity"])).alias("capacity"), F.lit(max(1, -(-int(n or 0) // per_shard))).alias("shards")) for r, n in zip(caps, n_pieces, strict=True)]) if caps else F.array().cast("array<struct<profile:string,capacity:int,shards:int>>")
     pieces = docs.where("n_tokens > 0").select("item_id", "n_tokens", F.explode(kinds).alias("k"))
-    pieces = pieces.select("item_id", F.col("n_tokens").alias("all"), "k.profile", "k.capacity", F.explode(F.expr("sequence(0, cast((n_tokens - 1) div k.capacity as int))")).alias("piece_no"))
+    pieces = pieces.select("item_id", F.col("n_tokens").alias("all"), "k.profile", "k.capacity", "k.shards", F.explode(F.expr("sequence(0, cast((n_tokens - 1) div k.capacity as int))")).alias("piece_no"))
     pieces = pieces.select(
-        "profile", "capacity", F.pmod(F.xxhash64("item_id", "piece_no", "all"), F.lit(shards)).cast("int").alias("shard"), "item_id", "piece_no",
+        "profile", "capacity", F.pmod(F.xxhash64("item_id", "piece_no", "all"), F.col("shards")).cast("int").alias("shard"), "item_id", "piece_no",
         (F.col("piece_no").cast("long") * F.col("capacity")).alias("token_start"),
         F.least(F.col("capacity"), F.col("all") - F.col("piece_no").cast("long") * F.col("capacity")).cast("int").alias("n_tokens"),
     )

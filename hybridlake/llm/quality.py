@@ -10,8 +10,9 @@ P(X <= x) and P(X >= x) follow, and a document's outlier score is the sum over s
 Beside it, each line is judged by itself: prose if it has enough words and enough of them are
 function words of any of the stated languages (or carry Korean particles and endings); list
 entries, table rows, code, encoded and garbled lines and repetition aren't. `share_prose` is the
-share of non-blank characters that is prose. `found` decides by that share alone: what a language
-consists of mostly has no outlying score, prose or not.
+share of non-blank characters that is prose. `found` decides by that share where it is clear, and by
+the outlier score where line by line judgement leaves a document in doubt: what a language consists
+of mostly has no outlying score, prose or not.
 
 Defined results: null and blank texts have no words, null shares and no score;
 languages compare by their first two letters in lower case, unknown ones as `und`; tied values have
@@ -248,10 +249,13 @@ def outlier_scores(stats: DataFrame, least_group: int = 1) -> DataFrame:
     return rows.join(score, "_row", "left").drop("_row")
 
 
-def found(scored: DataFrame, most_prose: float = 0.5) -> DataFrame:
-    """Scored documents of which less than `most_prose` is prose, whatever their score.
+def found(scored: DataFrame, *, surely: float = 0.4, hardly: float = 0.7, full_score: float = 18.0) -> DataFrame:
+    """Documents that aren't prose: those of which less than `surely` is prose, and in doubt, up to
+    `hardly`, those whose outlier score outweighs the share: it must be at least `full_score` times
+    the way from `surely` to `hardly` (6 where half is prose).
 
-    A value that a share s of a language has scores at most -ln s, so a least score would drop junk
-    that makes up most of its language.
+    A value that a share s of a language has scores at most -ln s, so a least score for all documents
+    would drop junk that makes up most of its language.
     """
-    return scored.where(F.col("outlier_score").isNotNull() & (F.col("share_prose") < most_prose))
+    way = (F.col("share_prose") - surely) / (hardly - surely)
+    return scored.where(F.col("outlier_score").isNotNull() & ((way < 0) | ((way < 1) & (F.col("outlier_score") >= full_score * way))))

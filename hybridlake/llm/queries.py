@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hybridlake.llm import code_origin, doc_pairs, mixing, near_dup, packing, quality, splitting, tokens
 from hybridlake.plans.registry import Registry
+from hybridlake.session import cut_lineage
 from hybridlake.sources.tables import table
 
 R = Registry()
@@ -90,9 +91,9 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def _p6_packed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    sizes = tokens.with_token_counts(docs, {"item_id": F.col("doc_id")}, F.col("text"))
+    sizes = cut_lineage(tokens.with_token_counts(docs, {"item_id": F.col("doc_id")}, F.col("text")))
     profiles = table(spark, d, "pack_profiles").select("profile", F.col("capacity_tokens").alias("capacity"))
-    return packing.pack(sizes, profiles, n_items=docs.count())
+    return packing.pack(sizes, profiles)
 
 
 @R.add("p6_containers")

@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,11 +118,12 @@ def split_oversized(df: DataFrame, table: Column, key: Column, text: Column, *,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, item, t in zip(pdf["table_name"], pdf["item_key"], pdf["text"], strict=True):
-                cuts = split_text(t, limit, overlap)
-                yield pd.DataFrame({
-                    "table_name": name, "item_key": item, "piece_no": range(len(cuts)), "body_start": [b for _, b, _ in cuts],
-                    "n_overlap": [b - s for s, b, _ in cuts], "piece": [t[s:e] for s, _, e in cuts],
-                })
+            cuts = [split_text(t, limit, overlap) for t in pdf["text"]]
+            rows = np.repeat(np.arange(len(pdf)), [len(c) for c in cuts])
+            flat = [c for each in cuts for c in each]
+            yield pd.DataFrame({
+                "table_name": pdf["table_name"].to_numpy()[rows], "item_key": pdf["item_key"].to_numpy()[rows], "piece_no": [i for c in cuts for i in range(len(c))], "body_start": [b for _, b, _ in flat],
+                "n_overlap": [b - s for s, b, _ in flat], "piece": [t[s:e] for t, each in zip(pdf["text"], cuts, strict=True) for s, _, e in each],
+            })
 
     return big.mapInPandas(run, "table_name string, item_key string, piece_no int, body_start int, n_overlap int, piece string")

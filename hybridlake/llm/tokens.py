@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -13,8 +14,13 @@ from pyspark.sql import Column, DataFrame
 #: Fixed value: the public pattern that splits text before byte-pair merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Runs without a break longer than this are cut before encoding, at the same places always.
-LONGEST_RUN = 20_000
+#: Longer texts are encoded in stretches of at least this length, cut where no token can cross.
+STRETCH = 20_000
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: A blank after another character: the pattern ends a token before it, whatever stands around.
+_CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
+#: Runs of blanks that the pattern would try to match by recursion.
+_LONG_SPACE = re.compile(f"[{_SPACE}]{{2000,}}")
 
 
 def encoding(path: str):
@@ -31,24 +37,29 @@ def encoding(path: str):
 
 
 def count_tokens(text: str | None, path: str = DEFAULT_RANKS) -> int:
-    """Tokens of the whole text; 0 for null and empty."""
+    """Tokens of the whole text, as if encoded at once; 0 for null and empty."""
     if not text:
         return 0
-    encode = encoding(path).encode_ordinary
-    if len(text) <= LONGEST_RUN:
-        return len(encode(text))
-    return sum(len(encode(part)) for part in _parts(text))
+    e = encoding(path)
+    if len(text) <= STRETCH:
+        return len(e.encode_ordinary(text)) if not _LONG_SPACE.search(text) else _count_spaced(e, text)
+    total = start = 0
+    while start < len(text):
+        m = _CUT.search(text, start + STRETCH)
+        end = m.start() if m else len(text)
+        total += _count_spaced(e, text[start:end])
+        start = end
+    return total
 
 
-def _parts(text: str) -> Iterator[str]:
-    """Stretches of a long text, cut before a blank where there is one."""
-    start = 0
-    while len(text) - start > LONGEST_RUN:
-        cut = text.rfind(" ", start + 1, start + LONGEST_RUN)
-        cut = cut if cut > start else start + LONGEST_RUN
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+def _count_spaced(e, text: str) -> int:
+    """Tokens of a text whose long runs of blanks are pieces: all but the last blank of a run, or all at the text's end."""
+    total = at = 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        total += len(e.encode_ordinary(text[at : m.start()])) + len(e._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(e.encode_ordinary(text[at:]))
 
 
 def with_token_counts(df: DataFrame, columns: dict[str, Column], text: Column, path: str = DEFAULT_RANKS) -> DataFrame:

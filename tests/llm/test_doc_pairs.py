@@ -1,7 +1,8 @@
 import itertools
 import random
+import time
 
-from hybridlake.llm.doc_pairs import assign, documented, one_per_node, pairs
+from hybridlake.llm.doc_pairs import assign, documented, matched, one_per_node, pairs
 
 DOC = "Returns the sum that was computed by the last caller."
 
@@ -47,6 +48,23 @@ def test_assignment_is_best():
         assert len(set(used)) == len(used) and abs(sum(w[i][c] for i, c in enumerate(got) if c >= 0) - best) < 1e-9
 
 
+def test_sparse_assignment_is_the_dense_one():
+    r = random.Random(4)
+    for _ in range(200):
+        n, m = r.randint(1, 5), r.randint(1, 6)
+        w = [[r.choice([0.0, 0.0, r.random()]) for _ in range(m)] for _ in range(n)]
+        assert matched({i: {j: x for j, x in enumerate(row) if x} for i, row in enumerate(w)}, 0) == assign(w)[0]
+
+
+def test_many_comments_take_no_quadratic_time():
+    start = time.time()
+    body = f"# {DOC}\ndef f(a):\n" + "".join(f"    # {DOC}\n    a += {i}\n" for i in range(20_000))
+    assert told(body) == DOC
+    inner = "".join(f"    # {DOC}\n    def g{i}(b):\n        return b\n" for i in range(3_000))
+    assert told(f"def f(a):\n{inner}") is None
+    assert time.time() - start < 8
+
+
 def test_operator(spark):
     rows = [("1", "function", "f", "def f():", DOC, "def f(): pass", 1), ("1", "function", "f", "def f():", DOC, "def f(): pass", 2), ("2", "class", "C", None, DOC, "class C: pass", 1), ("3", "method", None, None, None, None, 1), ("4", "method", None, None, DOC, "x" * 100_000, 1)]
     df = spark.createDataFrame(rows, "id string, type string, name string, signature string, docstring string, raw_body string, description int")

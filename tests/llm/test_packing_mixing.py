@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hybridlake.llm import mixing, packing
-from hybridlake.llm.tokens import count_tokens
+from hybridlake.llm.tokens import DEFAULT_RANKS, count_tokens, encoding
 
 
 @settings(max_examples=100, deadline=None)
@@ -74,6 +75,19 @@ def test_mix_reaches_shares(spark):
 
 def test_token_counts():
     assert count_tokens(None) == count_tokens("") == 0 and count_tokens("hello world") == 2
-    long = "the cat sat on a mat. " * 20_000
-    assert abs(count_tokens(long) - 20_000 * count_tokens("the cat sat on a mat. ")) < 20_100
-    assert count_tokens("x" * 100_000) > 0
+    whole = lambda x: len(encoding(DEFAULT_RANKS).encode_ordinary(x))
+    r = random.Random(1)
+    for _ in range(20):
+        text = "".join(r.choice(["the cat", "it's", " ", "  ", "\n\n", "\t", " 12,5", "x" * 50, "été\u00a0", "。", "!!"]) for _ in range(30_000))
+        assert len(text) > 60_000 and count_tokens(text) == whole(text)
+    assert count_tokens("x" * 100_000) == whole("x" * 100_000)
+    for blanks in (3_000, 5_001):
+        for text in (" " * blanks, "a" + " " * blanks + "b", "\n" * blanks + "b", "a" + " \n" * blanks):
+            assert count_tokens(text) == whole(text), repr(text[:5])
+    assert count_tokens("a" + " " * 2_000_000 + "b") > 1
+
+
+def test_shards_follow_the_pieces(spark):
+    df = spark.createDataFrame([(i, 1000) for i in range(100)], "item_id long, n_tokens int")
+    got = packing.pack(df, spark.createDataFrame([("s", 10), ("l", 1000)], "profile string, capacity int"), per_shard=100)
+    assert {r.profile: r.n for r in got.groupBy("profile").agg(F.countDistinct("shard").alias("n")).collect()} == {"s": 100, "l": 1}

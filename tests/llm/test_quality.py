@@ -80,3 +80,9 @@ def test_small_languages_are_ranked_by_themselves(spark):
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     got = quality.outlier_scores(quality.statistics(df, F.col("doc_id"), F.col("lang"), F.col("text"))).collect()
     assert sorted(round(r.outlier_score, 9) for r in got) == brute_scores(got)
+
+
+def test_outlier_score_decides_in_doubt(spark):
+    rows = [(1, 0.1, 0.0), (2, 0.45, 2.0), (3, 0.45, 4.0), (4, 0.55, 8.0), (5, 0.55, 9.5), (6, 0.75, 50.0), (7, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, share_prose double, outlier_score double")
+    assert {r.doc_id for r in quality.found(df).collect()} == {1, 3, 5}
