@@ -38,14 +38,14 @@ _MISSING = re.compile(
     re.I,
 )
 _INHERITED = re.compile(r"@?inherit_?doc|^\W*see (?:the )?(?:base|parent|super)\b|\b(?:overrid(?:es|den|ing)|inherit(?:s|ed)|implements?) (?:the |this |a )?(?:\w+ )?(?:method|function|member|documentation|docs?|description|definition)\b.*\b(?:class|interface|parent|base|super\w*)\b|\b(?:same as|see) (?:the )?(?:base|parent|super)[ -]?(?:class|method|implementation)", re.I)
-_TOOL = re.compile(r"auto[- ]?generated|@generated|\(non-javadoc\)|generated (?:by|method|constructor|stub|from|code)|machine[- ]written|produced automatically|do not (?:edit|modify)|method stub|made by \w+\. ?runtime|^\W*runtime version|^\W*made by \w+\W*$|자동 생성|automatisch (?:erzeugt|generiert)|wurde von \S+ (?:erzeugt|generiert)|beim nächsten lauf|line numbers refer to|manual changes will be lost|it instead of changing it here|정하지 마세요", re.I)
-_NOTICE = re.compile(r"copyright\b|\(c\)\s*\d{4}|©|\blicen[cs]ed? |\blicen[cs]e\b\W*(?::|$)|^\W*licen[cs]e\b|spdx-|all rights (?:in|reserved)|(?:as long as|provided that) this notice|free to use in source|without warranty|no warranty of|copied verbatim|vendored|imported unmodified|upstream (?:release|for changes)|bundled here|local patches are listed|part of the \S+ library|contributors, ", re.I)
+_TOOL = re.compile(r"auto[- ]?generated|@generated|\(non-javadoc\)|generated (?:by|method|constructor|stub|from|code)|machine[- ]written|produced automatically|do not (?:edit|modify)|method stub|자동 생성|automatisch (?:erzeugt|generiert)|wurde von \S+ (?:erzeugt|generiert)", re.I)
+_NOTICE = re.compile(r"copyright\b|\(c\)\s*\w|©|\blicen[cs]ed? |\blicen[cs]e\b\W*(?::|$)|^\W*licen[cs]e\b|spdx-|all rights (?:in|reserved)|(?:as long as|provided that) this notice|free to use in source|without warranty|no warranty of|copied verbatim|vendored|imported unmodified|upstream (?:release|for changes)|part of the \S+ library", re.I)
 # Lines and elements that document parameters or results only.
 _TAG = r"(?:[@\\](?:param|params?|arg|argument|tparam|returns?|retval|result|throws?|exception|raises?|see|since|author|deprecated|version|type|rtype|yields?)\b|:(?:param|parameter|arg|argument|type|returns?|rtype|raises?|yields?)\b[^:\n]*:)"
 _TAG_LINE = re.compile(rf"(?m)^[ \t]*{_TAG}.*$")
 _TAG_INLINE = re.compile(rf"[ \t]{{1,}}{_TAG}.*$", re.M)
 _LAST_TAG = re.compile(r"(?:[@\\](?:param|arg)|:(?:param|arg))\s+\w+:?\s+(?:the\s+|a\s+)?\w+|(?:[@\\]returns?|:returns?:)\s+(?:the\s+|a\s+)?\w+")
-_XML_TAGS = re.compile(r"<(param|returns|typeparam|exception|value)\b[^>]*>.*?</\1>|<(?:param|returns|typeparam|exception|value|inheritdoc|seealso|see)\b[^>]*/>", re.S | re.I)
+_XML_TAGS = re.compile(r"<(param|returns|typeparam|exception|value|auto-?generated)\b[^>]*>.*?</\1>|<(?:param|returns|typeparam|exception|value|inheritdoc|seealso|see)\b[^>]*/>", re.S | re.I)
 _XML_MARKS = re.compile(r"</?(?:summary|remarks|para|c|code|p|b|i|br|pre|ul|li|tt|example)\b[^>]*>", re.I)
 _SECTION = re.compile(r"^[ \t]*(?:args|arguments|parameters|params|returns?|raises|yields|parameter|rückgabe)[ \t]*:?[ \t]*$", re.I)
 
@@ -112,11 +112,13 @@ def telling(text: str, name: str) -> str:
     """The sentences of a description that say something; '' if they don't add up to four words."""
     if _NOTICE.search(text) and not [s for s in _SENTENCE.split(text) if not _NOTICE.search(s) and len(_WORD.findall(s)) > 5]:
         return ""
+    # What stands in one line with a tool's notice is the tool's too.
+    text = "\n".join(x for x in text.split("\n") if not _TOOL.search(x))
     own = {p.lower() for p in _NAME_PART.findall(name or "")}
     kept = []
     for s in _SENTENCE.split(text):
         s = s.strip()
-        if not s or _MISSING.search(s) or _INHERITED.search(s) or _TOOL.search(s) or _NOTICE.search(s) or _CODE.search(s):
+        if not s or _MISSING.search(s) or _INHERITED.search(s) or _NOTICE.search(s) or _CODE.search(s):
             continue
         words = [w.lower() for w in _WORD.findall(s)]
         if not words or {p.lower() for w in _WORD.findall(s) for p in _NAME_PART.findall(w)} <= own | _FILLERS:
