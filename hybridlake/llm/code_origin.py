@@ -5,7 +5,10 @@ Evidence is gathered per file, from its path and from all nodes parsed from it:
   lower case) are fingerprinted by winnowing: of every `window` consecutive hashes of k tokens the
   least is kept. A file is a copy if most of its fingerprints recur in many repositories;
 - path segments and file names that stand for third-party or generated files;
-- notices of tools or origin in the comment at the head of the file;
+- notices of tools or origin in the comment at the head of the file: public conventions, and wordings
+  learned from the files themselves. Head comments are winnowed too; a fingerprint of theirs is telling
+  if it recurs in many repositories and nearly all files that hold it bear other evidence. A notice
+  so worded marks the files that bear none;
 - packed code (hardly any blanks, long lines) and bodies that are little else than literals.
 
 Files that only deal with such things keep their place: a name counts as a whole segment or
@@ -46,12 +49,12 @@ HAND_WRITTEN_PATH = r"(?i)\.(md|mdx|markdown|rst|txt)$"
 # Notices at the head of a file.
 _GENERATED = re.compile(
     r"@generated\b|<auto-?generated|\bauto-?generated (?:file|code|by|from|on)\b|\bautogenerated file\b|\bcode generated (?:by|from)\b|\b(?:file|code|source|module) (?:was|is|has been) (?:automatically |auto-?)?(?:generated|produced|created) (?:automatically|by|from)\b"
-    r"|\bautomatically (?:generated|produced|created)\b|\bmachine[- ](?:written|generated)\b|\b(?:do not|don't) (?:edit|modify|change)\b.*\b(?:re)?generated\b|\bgenerated (?:by|with|from) .*\b(?:do not|don't) (?:edit|modify)\b|\bregenerated on every\b"
+    r"|\bautomatically (?:generated|produced|created)\b|\bmachine[- ](?:written|generated)\b|\b(?:do not|don't) (?:edit|modify|change)\b.*\b(?:re)?generated\b|\bgenerated (?:by|with|from) .*\b(?:do not|don't) (?:edit|modify)\b"
     r"|자동(?:으로)? 생성|\b(?:wurde|ist) (?:von \S+ |automatisch |maschinell )+(?:erzeugt|generiert|erstellt)|\bgénéré (?:automatiquement|par)\b|\bgenerad[oa] (?:automáticamente|por)\b|自动生成|自動生成",
     re.I | re.S,
 )
 _VENDORED = re.compile(
-    r"\bcopied (?:verbatim|unchanged|unmodified|as[- ]is) from\b|\bvendored\b|\bimported (?:unmodified|unchanged|verbatim|as[- ]is)\b|\bbundled (?:here|with this)\b.*\b(?:build|offline|copy)|\bsee upstream\b|\bupstream (?:release|version|source|repository) (?:of|at|from)\b"
+    r"\bcopied (?:verbatim|unchanged|unmodified|as[- ]is) from\b|\bvendored\b|\bupstream (?:release|version|source|repository) (?:of|at|from)\b"
     r"|\bpart of (?:the )?\S+ (?:library|project|framework|package|toolkit),? version\b|^\W*!\s*\S+ v\d+(?:\.\d+)+ \||\bthird[- ]party (?:code|copy|library)\b",
     re.I | re.S,
 )
@@ -63,6 +66,11 @@ _TOKENS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\d[\w.]*|[^\W\
 _LITERALS = re.compile(r"\"[^\"\s]*\"|'[^'\s]*'|\b0[xX][0-9a-fA-F]+\b|\b\d[\d.eE+-]*|[\s,\[\]{}();]")
 
 
+#: Words in a row, and window, of the fingerprints of head comments.
+_HEAD_K, _HEAD_WINDOW = 3, 2
+_HEAD_WORD = re.compile(r"[^\W\d_]+")
+
+
 def canonical_path(path: Column) -> Column:
     """Forward slashes, without leading `./` and `ROOT/`."""
     p = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/{2,}", "/")
@@ -102,7 +110,15 @@ def is_data(body: str) -> bool:
 
 def winnow(body: str, k: int, window: int) -> np.ndarray:
     """Fingerprints of the normalized token stream (int64, distinct)."""
-    words = [("0" if t[0].isdigit() else '"' if t[0] in "\"'" else t.lower()) for t in _TOKENS.findall(_COMMENTS.sub(" ", body))]
+    return _winnowed([("0" if t[0].isdigit() else '"' if t[0] in "\"'" else t.lower()) for t in _TOKENS.findall(_COMMENTS.sub(" ", body))], k, window)
+
+
+def winnow_head(texts: list[str]) -> np.ndarray:
+    """Fingerprints of the words of a file's head comments, each taken by itself."""
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(_winnowed(_HEAD_WORD.findall(t.lower()), _HEAD_K, _HEAD_WINDOW) for t in texts)]))
+
+
+def _winnowed(words: list[str], k: int, window: int) -> np.ndarray:
     if len(words) < k:
         return np.empty(0, np.int64)
     flat = np.empty(len(words), object)
@@ -121,12 +137,12 @@ def winnow(body: str, k: int, window: int) -> np.ndarray:
 
 
 def node_evidence(nodes: DataFrame, k: int, window: int) -> DataFrame:
-    """Per node: (path, repo, generated, vendored, packed, data, fingerprints)."""
+    """Per node: (path, repo, generated, vendored, packed, data, fingerprints, head)."""
     picked = nodes.select(canonical_path(F.col("file_path")).alias("path"), F.col("workspace_id").alias("repo"), "type", "raw_body", "docstring").where("path is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {c: [] for c in ("generated", "vendored", "packed", "data", "fingerprints")}
+            out = {c: [] for c in ("generated", "vendored", "packed", "data", "fingerprints", "head")}
             for kind, body, doc in zip(pdf["type"], pdf["raw_body"], pdf["docstring"], strict=True):
                 body, whole = body or "", kind == "module"
                 g, v = head_notice(body)
@@ -138,10 +154,12 @@ def node_evidence(nodes: DataFrame, k: int, window: int) -> DataFrame:
                 out["vendored"].append(v and code)
                 out["packed"].append(whole and is_packed(body))
                 out["data"].append(whole and is_data(body))
+                m = _HEAD.match(body) if code else None
+                out["head"].append(winnow_head([x for x in (m and m[1], doc if whole else None) if x]))
                 out["fingerprints"].append(winnow(body, k, window) if kind in ("module", "function", "method") else np.empty(0, np.int64))
             yield pdf[["path", "repo"]].assign(**out)
 
-    return picked.mapInPandas(run, "path string, repo string, generated boolean, vendored boolean, packed boolean, data boolean, fingerprints array<long>")
+    return picked.mapInPandas(run, "path string, repo string, generated boolean, vendored boolean, packed boolean, data boolean, fingerprints array<long>, head array<long>")
 
 
 def recurring_share(evidence: DataFrame, least_repos: int) -> DataFrame:
@@ -158,21 +176,43 @@ def recurring_share(evidence: DataFrame, least_repos: int) -> DataFrame:
     return sizes.join(hits, "path", "left").select("path", "n_fingerprints", (F.coalesce("hits", F.lit(0)) / F.col("n_fingerprints")).alias("recurring"))
 
 
-def file_origins(files: DataFrame, nodes: DataFrame, *, k: int = 16, window: int = 8, least_repos: int = 8, least_share: float = 0.8, least_prints: int = 8) -> DataFrame:
+def telling_heads(evidence: DataFrame, marked: DataFrame, least_repos: int, least_share: float) -> DataFrame:
+    """(path) of files whose head comment holds a telling fingerprint; marked: (path, is_marked).
+
+    Counted by file in the map tasks first; fingerprints that tell are joined by their counts, so a
+    licence notice in every head is no hot key.
+    """
+    heads = evidence.select("path", "repo", F.explode("head").alias("fp")).groupBy("path", "fp").agg(F.min("repo").alias("repo"))
+    known = cut_lineage(heads.join(marked, "path", "left").select("path", "repo", "fp", F.coalesce("is_marked", F.lit(False)).alias("is_marked")))
+    per_repo = known.groupBy("fp", "repo").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_marked").alias("marked"))
+    counts = per_repo.groupBy("fp").agg(F.sum("n").alias("n"), F.sum("marked").alias("marked"), F.count_if(F.col("marked") > 0).alias("repos"))
+    telling = counts.where((F.col("repos") >= least_repos) & (F.col("marked") >= F.col("n") * F.lit(least_share))).select("fp", "n")
+    total = known.count()
+    return join_by_count(known.where(~F.col("is_marked")).select("path", "fp"), telling, ["fp"], "n", total).select("path").distinct()
+
+
+def file_origins(files: DataFrame, nodes: DataFrame, *, k: int = 16, window: int = 8, least_repos: int = 8, least_share: float = 0.8, telling_repos: int = 8, telling_share: float = 0.35) -> DataFrame:
     """files: (file_path). One row per distinct path: its evidence, and `origin`
-    (vendored, generated, minified, data or hand-written)."""
+    (vendored, generated, minified, data, noticed for a telling head alone, or hand-written)."""
     evidence = cut_lineage(node_evidence(nodes, k, window))
     flags = evidence.groupBy("path").agg(*[F.max(c).alias(f"any_{c}") for c in ("generated", "vendored", "packed", "data")])
     prints = recurring_share(evidence, least_repos)
     paths = files.select("file_path").where("file_path is not null").distinct().withColumn("path", canonical_path(F.col("file_path")))
-    all_ = paths.join(flags, "path", "left").join(prints, "path", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    copied = (F.coalesce("recurring", F.lit(0.0)) >= least_share) & (F.col("n_fingerprints") >= least_prints)
-    vendored = F.col("path").rlike(VENDORED_PATH) | yes("any_vendored") | copied
-    generated = F.col("path").rlike(GENERATED_PATH) | yes("any_generated")
-    minified = F.col("path").rlike(MINIFIED_PATH) | yes("any_packed")
-    origin = (
-        F.when(F.col("path").rlike(HAND_WRITTEN_PATH), "hand-written").when(vendored, "vendored").when(generated, "generated")
-        .when(minified, "minified").when(yes("any_data"), "data").otherwise("hand-written")
-    )
+    seen = flags.join(prints, "path", "left")
+    copied = F.coalesce("recurring", F.lit(0.0)) >= least_share
+    by = {
+        "vendored": F.col("path").rlike(VENDORED_PATH) | yes("any_vendored") | copied,
+        "generated": F.col("path").rlike(GENERATED_PATH) | yes("any_generated"),
+        "minified": F.col("path").rlike(MINIFIED_PATH) | yes("any_packed"),
+        "data": yes("any_data"),
+    }
+    written = F.col("path").rlike(HAND_WRITTEN_PATH)
+    marked = seen.select("path", (~written & (by["vendored"] | by["generated"] | by["minified"] | by["data"])).alias("is_marked"))
+    told = telling_heads(evidence, marked, telling_repos, telling_share).withColumn("told", F.lit(True))
+    all_ = paths.join(seen, "path", "left").join(told, "path", "left")
+    origin = F.when(written, "hand-written")
+    for name, is_it in by.items():
+        origin = origin.when(is_it, name)
+    origin = origin.when(yes("told"), "noticed").otherwise("hand-written")
     return all_.select("file_path", origin.alias("origin"), F.coalesce("recurring", F.lit(0.0)).alias("recurring"), F.coalesce("n_fingerprints", F.lit(0)).alias("n_fingerprints"))

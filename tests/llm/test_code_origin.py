@@ -54,3 +54,20 @@ def test_copies_across_repositories(spark):
     got = origins(spark, files, nodes, least_repos=4)
     assert {k for k, v in got.items() if v == "vendored"} == set(files[:6]) and set(got) == set(files)
     assert origins(spark, [], nodes) == {}
+
+
+def test_wordings_are_learned_from_marked_files(spark):
+    note = "# quux - see quux.example - kept here so that builds work offline\n"
+    nodes = [(f"r{i}/vendor/q{i}.py", f"w{i}", "module", note + body(300 + i), None) for i in range(9)]
+    nodes += [("r1/src/own_copy.py", "w1", "module", note + body(400), None), ("r2/src/told.py", "w2", "module", body(401), note[2:])]
+    nodes += [(f"r{i}/src/mine{i}.py", f"w{i}", "module", "# Part of this workspace; all rights stay with us\n" + body(500 + i), None) for i in range(12)]
+    nodes += [(f"r{i}/vendor/n{i}.py", f"w{i}", "module", "# Part of this workspace; all rights stay with us\n" + body(600 + i), None) for i in range(4)]
+    got = origins(spark, sorted({n[0] for n in nodes}), nodes)
+    assert {k for k, v in got.items() if v == "noticed"} == {"r1/src/own_copy.py", "r2/src/told.py"}
+    assert {k for k, v in got.items() if v == "hand-written"} == {f"r{i}/src/mine{i}.py" for i in range(12)}
+
+
+def test_small_copies_count(spark):
+    small = "def f(a, b):\n    return call_one(a, b) + call_two(b, a) - 1"
+    nodes = [(f"r{i}/src/c.py", f"w{i}", "function", small, None) for i in range(8)]
+    assert set(origins(spark, [n[0] for n in nodes], nodes).values()) == {"vendored"}
