@@ -199,7 +199,8 @@ def file_origins(files: DataFrame, nodes: DataFrame, *, k: int = 16, window: int
     prints = recurring_share(evidence, least_repos)
     paths = files.select("file_path").where("file_path is not null").distinct().withColumn("path", canonical_path(F.col("file_path")))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    seen = flags.join(prints, "path", "left")
+    # Read three times: one row per file.
+    seen = cut_lineage(flags.join(prints, "path", "left"))
     copied = F.coalesce("recurring", F.lit(0.0)) >= least_share
     by = {
         "vendored": F.col("path").rlike(VENDORED_PATH) | yes("any_vendored") | copied,
