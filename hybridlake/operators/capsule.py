@@ -21,8 +21,8 @@ def pivots(ranked: DataFrame, nodes: DataFrame, budget: int, share: float = 0.7)
     """
     first = ranked.groupBy("id").agg(F.min("place").alias("place"))
     found = nodes.join(F.broadcast(first), "id")
-    best = found.orderBy(F.contains("file_path", F.lit("references/")).cast("int"), "place", "id").limit(PIVOTS)
-    order = [F.contains("file_path", F.lit("references/")).cast("int"), F.col("place"), F.col("id")]
+    best = found.orderBy(F.coalesce(F.startswith("file_path", F.lit("references/")), F.lit(False)).cast("int"), "place", "id").limit(PIVOTS)
+    order = [F.coalesce(F.startswith("file_path", F.lit("references/")), F.lit(False)).cast("int"), F.col("place"), F.col("id")]
     short = F.concat_ws("\n", "signature", F.when(F.trim("docstring") != "", F.col("docstring")))
     one = best.select(F.struct(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("position"), "id", "fqn", F.coalesce("raw_body", F.lit("")).alias("body"), F.coalesce(short, F.lit("")).alias("short")).alias("p"))
     rows = one.agg(F.array_sort(F.collect_list("p")).alias("ps"))
@@ -45,5 +45,8 @@ def related(found: DataFrame, neighbors: DataFrame, nodes: DataFrame, budget: in
     near = near.join(found.select("fqn"), "fqn", "left_anti")
     rows = nodes.select("fqn", "signature").where("signature is not null").join(near, "fqn", "left_semi").groupBy("fqn").agg(F.min("signature").alias("signature"))
     spent = F.sum(F.length("signature") / F.lit(4.0)).over(Window.partitionBy(F.lit(0)).orderBy("fqn"))
-    # The budget bounds how many rows can fit; no more are numbered.
-    return rows.orderBy("fqn").limit(4 * budget + 1).withColumn("_s", spent).where(F.col("_s") <= budget).drop("_s")
+    # Signatures of a character or more: the budget bounds how many can fit, and no more are numbered. Empty ones cost nothing and fit where their place does.
+    costly = rows.where("signature != ''").orderBy("fqn").limit(4 * budget + 1).withColumn("_s", spent)
+    last = costly.where(F.col("_s") > budget).agg(F.min("fqn").alias("_end"))
+    empty = rows.where("signature = ''").join(F.broadcast(last), F.lit(True)).where("_end is null or fqn < _end").drop("_end")
+    return costly.where(F.col("_s") <= budget).drop("_s").unionByName(empty)

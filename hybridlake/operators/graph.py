@@ -99,18 +99,23 @@ def neighbors(graph: DataFrame, relations: list[str]) -> DataFrame:
 
 def resolve_by_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, node_id) for targets `a.b.Name` of dotted imports: a Python node whose fqn holds a/b.py::Name;
-    of several, the one of the greatest id. Equal names are joined first, the rest is a filter."""
-    dotted = F.substring("target_id", len(UNRESOLVED_FQN) + 1, 10_000)
+    of several, the one of the greatest id. Nodes are joined on name and last path segment, so that a name
+    every file has is no hot key; the rest is a filter."""
+    dotted = F.substr("target_id", F.lit(len(UNRESOLVED_FQN) + 1))
     e = edges.where(F.col("target_id").startswith(UNRESOLVED_FQN)).select(F.col("id").alias("edge_id"), F.split(dotted, r"\.").alias("p"))
     e = e.where(F.size("p") > 1).select("edge_id", F.element_at("p", -1).alias("name"), F.concat(F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/"), F.lit(".py::"), F.element_at("p", -1)).alias("part"))
-    n = nodes.where(F.lower("language") == "python").select("name", "fqn", F.col("id").alias("node_id"))
-    return e.join(n, "name").where(F.contains("fqn", F.col("part"))).groupBy("edge_id").agg(F.max("node_id").alias("node_id"))
+    segment = lambda c: F.regexp_extract(c, r"([^/]*\.py)::", 1)
+    e = e.withColumn("_file", segment(F.col("part")))
+    n = nodes.where(F.lower("language") == "python").select("name", "fqn", F.col("id").alias("node_id"), F.explode(F.array_distinct(F.regexp_extract_all("fqn", F.lit(r"([^/]*\.py)::"), F.lit(1)))).alias("_stored"))
+    # The name may end where a longer file name does: a/xb.py::N holds b.py::N.
+    tail = F.explode(F.transform(F.sequence(F.lit(1), F.length("_stored") - 3), lambda i: F.substr("_stored", i)))
+    return e.join(n.withColumn("_file", tail), ["name", "_file"]).where(F.contains("fqn", F.col("part"))).groupBy("edge_id").agg(F.max("node_id").alias("node_id"))
 
 
 def resolve_by_name(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, node_id) for unresolved names: a node of the source's language first, else of any; of several the greatest id.
     Names are reduced to one node per language before the join, so a common name is no hot key of nodes."""
-    e = edges.where(F.col("target_id").startswith(UNRESOLVED)).select(F.col("id").alias("edge_id"), "source_id", F.substring("target_id", len(UNRESOLVED) + 1, 10_000).alias("name"))
+    e = edges.where(F.col("target_id").startswith(UNRESOLVED)).select(F.col("id").alias("edge_id"), "source_id", F.substr("target_id", F.lit(len(UNRESOLVED) + 1)).alias("name"))
     per_language = nodes.where("name is not null").groupBy("name", "language").agg(F.max("id").alias("same"))
     any_language = per_language.groupBy("name").agg(F.max("same").alias("other"))
     source = nodes.select(F.col("id").alias("source_id"), "language")

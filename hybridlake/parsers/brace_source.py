@@ -7,8 +7,9 @@ only; bodies are cut from the source itself.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
-from hybridlake.parsers.model import Parsed
+from hybridlake.parsers.model import Parsed, node_id
 
 _QUIET = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _KEYWORDS = frozenset("if for while switch catch return else do new throw sizeof typeof using lock foreach await delete case in of function class".split())
@@ -17,11 +18,14 @@ _TYPES = {
     "java": r"\b(class|interface|enum|record)\s+(\w+)", "csharp": r"\b(class|interface|enum|record|struct)\s+(\w+)", "c": r"\b(class|struct|enum|union)\s+(\w+)(?=[^;(){}]*\{)", "typescript": r"\b(class|interface|enum)\s+(\w+)",
 }
 _NAMED = re.compile(r"(~?\w+)\s*(?:<[\w\s,.]*>\s*)?\(")
-_OPENS = re.compile(r"[\w\s:,.<>\[\]|&?]{0,300}\{")
+_OPENS = re.compile(r"[\w\s:,.<>\[\]|&?]*+\{")
 _ARROW = re.compile(r"\b(?:const|let)\s+(?P<name>\w+)\s*(?::[^=\n]+)?=\s*(?P<head>async\s+)?\(?(?P<args>[^()=]*)\)?\s*(?::\s*[\w<>\[\]|., ]+)?=>\s*\{")
 _IMPORT = {"typescript": re.compile(r"\bimport\b[^;'\"`]*['\"]([^'\"]+)['\"]"), "csharp": re.compile(r"\busing\s+([\w.]+)\s*;")}
 _PROPERTY = re.compile(r"^[ \t]*(?:public|protected|private|internal)[\w<>\[\],.? \t]*[ \t](\w+)\s*\{\s*(?:get|set|init)\b", re.M)
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
+# C# type names that are no references.
+_CS_BUILT_IN = frozenset("Boolean Byte Char DateTime Decimal Dictionary Double Enumerable Exception Func Action Guid IDictionary IEnumerable IList Int16 Int32 Int64 List Nullable Object Single String Task Tuple Type Void".split())
+_ABOVE = re.compile(r"[ \t]*(?:@[^\n]*)?\n?")
 
 
 def blank(source: str) -> str:
@@ -68,18 +72,44 @@ def callables(code: str) -> list[tuple[int, int, int, str]]:
 
 def doc_above(source: str, at: int) -> str | None:
     """The comment that ends right above a position, without its marks."""
-    m = re.search(r"(?:/\*((?:(?!\*/).)*)\*/|((?:^[ \t]*///?[^\n]*\n)+))[ \t]*\n?(?:[ \t]*@[^\n]*\n)*[ \t]*\Z", source[max(0, at - 4000) : at], re.S | re.M)
-    if not m:
+    # Upwards, past blanks and annotations; at most one line end stands between comment and code.
+    end, lines = at, 0
+    while True:
+        start = source.rfind("\n", 0, end) + 1
+        line = source[start:end].strip()
+        if line and not line.startswith("@"):
+            break
+        lines += not line and end < at
+        if start == 0 or lines > 1:
+            return None
+        end = start - 1
+    if line.endswith("*/"):
+        close = source.rindex("*/", 0, end)
+        opening = source.rfind("/*", 0, close)
+        if opening < 0 or "*/" in source[opening:close]:
+            return None
+        text = source[opening + 2 : close]
+    elif line.startswith("//"):
+        first = start
+        while first > 0:
+            above = source.rfind("\n", 0, first - 1) + 1
+            if not source[above : first - 1].lstrip().startswith("//"):
+                break
+            first = above
+        text = source[first:end]
+    else:
         return None
-    text = m[1] if m[1] is not None else m[2]
     return "\n".join(x for x in (re.sub(r"^[ \t]*(?:/{2,3}|\*+)?[ \t]?", "", s).strip() for s in text.split("\n")) if x) or None
 
 
 def parse(path: str, source: str, language: str) -> Parsed:
     out = Parsed(path, language)
     code = blank(source)
-    line = lambda i: source.count("\n", 0, i) + 1
-    module = out.add("module", path.rsplit("/", 1)[-1].rsplit(".", 1)[0], path, 1, line(len(source)), "", "")
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line = lambda i: bisect_left(breaks, i) + 1
+    module = node_id(path)
+    if language != "typescript":
+        out.add("module", path.rsplit("/", 1)[-1].rsplit(".", 1)[0], path, 1, line(len(source)), "", "")
     for m in _IMPORT[language].finditer(source) if language in _IMPORT else ():
         out.link(module, f"__unresolved__::{re.split(r'[./]', m[1])[-1]}", "IMPORTS", line(m.start()))
 
@@ -95,7 +125,7 @@ def parse(path: str, source: str, language: str) -> Parsed:
         at = out.add(m[1], m[2], fqn, line(m.start()), line(end - 1), source[start:opening].strip(), source[start:end], docstring=doc_above(source, start), is_exported=language != "typescript" or "export" in source[start : m.start()])
         types.append((opening, end, at, fqn))
         heritage = code[m.end() : opening]
-        if language in ("csharp", "typescript", "java"):
+        if language == "csharp":
             for i, base in enumerate(re.findall(r"[A-Z]\w*", re.sub(r"<[^<>]*>", "", heritage))):
                 inherits = i == 0 and m[1] in ("class", "struct", "record") and not re.match(r"I[A-Z]", base) and "implements" not in heritage.split(base)[0]
                 out.link(at, f"__unresolved__::{base}", "INHERITS" if inherits else "IMPLEMENTS", line(m.start()))
@@ -118,6 +148,8 @@ def parse(path: str, source: str, language: str) -> Parsed:
         if language == "csharp":
             for call in dict.fromkeys(c for c in _CALL.findall(code[opening:end]) if c not in _KEYWORDS):
                 out.link(at, f"__unresolved__::{call}", "CALLS")
+            for kind in dict.fromkeys(t for t in re.findall(r"\b[A-Z]\w*", head + code[named + len(name) : opening]) if t not in _CS_BUILT_IN):
+                out.link(at, f"__unresolved__::{kind}", "ANNOTATED_WITH", line(start))
     if language == "csharp":
         for m in _PROPERTY.finditer(code):
             holder = max((t for t in types if t[0] < m.start() < t[1]), default=None, key=lambda t: t[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
+# The columns of the tables, and the namespace of ids.
 NODE_DDL = "id string, type string, name string, fqn string, file_path string, start_line int, end_line int, signature string, return_type string, docstring string, is_exported boolean, is_async boolean, is_test boolean, raw_body string, skeleton_standard string, skeleton_minimal string, language string"
 EDGE_DDL = "source_id string, target_id string, type string, call_site_line int, confidence double"
 NODE_COLUMNS = [c.split()[0] for c in NODE_DDL.split(", ")]
@@ -21,6 +22,7 @@ class Parsed:
     language: str
     nodes: list[dict] = field(default_factory=list)
     edges: list[tuple] = field(default_factory=list)
+    linked: set[tuple] = field(default_factory=set)
 
     def add(self, kind: str, name: str, fqn: str, first: int, last: int, signature: str, body: str, **more) -> str:
         row = dict.fromkeys(NODE_COLUMNS) | {
@@ -34,5 +36,6 @@ class Parsed:
 
     def link(self, source: str, target: str, kind: str, line: int | None = None) -> None:
         row = (source, target, kind, line, 1.0)
-        if row not in self.edges:
+        if row not in self.linked:
+            self.linked.add(row)
             self.edges.append(row)

@@ -6,14 +6,12 @@ import ast
 
 from hybridlake.parsers.model import Parsed
 
-_BUILT_IN_TYPES = frozenset("str int float bool bytes list dict set tuple frozenset object type None Any Optional Union List Dict Set Tuple Callable Iterable Iterator Sequence Mapping".split())
-
 
 class _Walk(ast.NodeVisitor):
     def __init__(self, out: Parsed, source: str) -> None:
         self.out, self.lines, self.source = out, source.split("\n"), source
         self.imported: dict[str, str] = {}
-        self.owner: list[tuple[str, str]] = []  # (id, kind) from the module inwards
+        self.owner: list[tuple[str, str, str]] = []  # (id, kind, fqn) from the module inwards
 
     def _text(self, node: ast.AST) -> str:
         return "\n".join(self.lines[node.lineno - 1 : node.end_lineno])
@@ -23,30 +21,30 @@ class _Walk(ast.NodeVisitor):
 
     def visit_Module(self, node: ast.Module) -> None:
         name = self.out.path.rsplit("/", 1)[-1].removesuffix(".py")
-        self.owner.append((self.out.add("module", name, self.out.path, 1, len(self.lines), "", "", docstring=ast.get_docstring(node)), "module"))
+        self.owner.append((self.out.add("module", name, self.out.path, 1, len(self.lines), "", "", docstring=ast.get_docstring(node)), "module", self.out.path))
         self.generic_visit(node)
 
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
-            self.out.link(self.owner[0][0], f"__unresolved__::{a.asname or a.name}", "IMPORTS", node.lineno)
+            self.out.link(self.owner[0][0], f"__unresolved__::{a.asname or a.name.split('.')[0]}", "IMPORTS", node.lineno)
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        for a in node.names:
-            full = f"{node.module}.{a.name}" if node.module else a.name
+        for a in node.names if node.module else ():
+            full = f"{node.module}.{a.name}"
             self.imported[a.asname or a.name] = full
             self.out.link(self.owner[0][0], f"__unresolved_fqn__::{full}", "IMPORTS", node.lineno)
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         bases = ", ".join(map(ast.unparse, node.bases))
         at = self.out.add("class", node.name, f"{self.out.path}::{node.name}", node.lineno, node.end_lineno, f"class {node.name}" + (f"({bases}):" if bases else ":"), self._text(node), docstring=ast.get_docstring(node))
-        self.owner.append((at, "class"))
+        self.owner.append((at, "class", f"{self.out.path}::{node.name}"))
         self.generic_visit(node)
         self.owner.pop()
 
     def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        holder, kind = self.owner[-1]
+        holder, kind, fqn = self.owner[-1]
         method = kind == "class"
-        prefix = next(n["fqn"] for n in self.out.nodes if n["id"] == holder) if method else self.out.path
+        prefix = fqn if method else self.out.path
         wait = isinstance(node, ast.AsyncFunctionDef)
         returns = ast.unparse(node.returns) if node.returns else None
         signature = f"{'async ' if wait else ''}def {node.name}({ast.unparse(node.args)}){f' -> {returns}' if returns else ''}:"
@@ -55,16 +53,16 @@ class _Walk(ast.NodeVisitor):
         )
         if method:
             self.out.link(holder, at, "CONTAINS", node.lineno)
-        for hint in [*(a.annotation for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]), node.returns]:
+        for hint in [*(a.annotation for a in node.args.args), node.returns]:
             for part in ast.walk(hint) if hint else ():
-                if isinstance(part, ast.Name) and part.id not in _BUILT_IN_TYPES:
+                if isinstance(part, ast.Name) and not part.id.startswith("_"):
                     self.out.link(at, self._target(part.id), "ANNOTATED_WITH", node.lineno)
         for part in ast.walk(node):
             if isinstance(part, ast.Call):
                 name = part.func.id if isinstance(part.func, ast.Name) else part.func.attr if isinstance(part.func, ast.Attribute) else ""
                 if name and not name.startswith("_"):
                     self.out.link(at, self._target(name), "CALLS", part.lineno)
-        self.owner.append((at, "function"))
+        self.owner.append((at, "function", f"{prefix}::{node.name}"))
         self.generic_visit(node)
         self.owner.pop()
 

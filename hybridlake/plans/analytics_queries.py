@@ -233,7 +233,7 @@ _WEIGHTS = {"high": 25, "medium": 8, "low": 3}
 _SCAN = (
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL), h AS ("
     + " UNION ALL ".join(f"SELECT doc_id, line_no, '{n}' AS pattern, '{s}' AS severity, left(regexp_replace(line, '{rx}', '***', 'g'), 80) AS snippet FROM l WHERE regexp_matches(line, '{rx}')" for n, s, rx in _PATTERNS)
-    + "), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pattern) <= 20)"
+    + "), f AS (SELECT * FROM h)"
 )
 
 

@@ -22,14 +22,16 @@ def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n = latest_nodes(spark, d, ["type", "language", "raw_body", "file_path"]).where("type in ('function', 'class', 'method') and raw_body is not null")
-    extension = F.create_map(*[F.lit(x) for p in {"python": "py", "java": "java", "csharp": "cs", "typescript": "ts", "c": "c"}.items() for x in p])
-    return parse_files(n, F.concat_ws(".", "id", extension[F.col("language")]), F.col("raw_body"))
+    n = latest_nodes(spark, d, ["type", "language", "raw_body", "file_path"]).where("raw_body is not null")
+    extension = F.create_map(*[F.lit(x) for p in {"python": "py", "java": "java", "csharp": "cs", "c#": "cs", "typescript": "ts", "javascript": "ts", "c": "c", "c++": "cpp", "cpp": "cpp"}.items() for x in p])
+    # Code by its language, whatever the spelling; everything else is read as a document.
+    kind = F.coalesce(extension[F.lower(F.trim("language"))], F.lit("md"))
+    return parse_files(n, F.concat_ws(".", "id", kind), F.col("raw_body"))
 
 
 @R.add("parse_symbols")
 def parse_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols found in each stored body, read as a file of its own."""
+    """Symbols and chunks found in each stored body, read as a file of its own: modules, documents and skills too."""
     return _parsed(spark, d)[0].select("id", "type", "name", "fqn", "language", "start_line", "end_line", "signature")
 
 
@@ -73,7 +75,7 @@ def _pivots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     "capsule_pivots",
     f"""WITH RECURSIVE {_CAPSULE_NODES}, {rank_sql('r', 'one', 'id', ['name', 'fqn', 'docstring', 'signature'], _TERMS)},
     f AS (SELECT key AS id, row_number() OVER (ORDER BY score DESC, key) - 1 AS place FROM r QUALIFY place < 5),
-    p AS (SELECT row_number() OVER (ORDER BY contains(one.file_path, 'references/')::INTEGER, place, id)::INTEGER AS position, id, fqn, coalesce(raw_body, '') AS body,
+    p AS (SELECT row_number() OVER (ORDER BY coalesce(starts_with(one.file_path, 'references/'), false)::INTEGER, place, id)::INTEGER AS position, id, fqn, coalesce(raw_body, '') AS body,
       coalesce(concat_ws(chr(10), signature, CASE WHEN trim(docstring, ' ') <> '' THEN docstring END), '') AS short FROM f JOIN one USING (id) QUALIFY position <= 3),
     w AS (SELECT 0 AS position, 0.0::DOUBLE AS used, NULL::VARCHAR AS id, NULL::VARCHAR AS fqn, false AS whole, '' AS text
       UNION ALL SELECT p.position, w.used + len(CASE WHEN w.used + len(p.body) / 4 <= 420 THEN p.body ELSE p.short END) / 4, p.id, p.fqn, w.used + len(p.body) / 4 <= 420, CASE WHEN w.used + len(p.body) / 4 <= 420 THEN p.body ELSE p.short END FROM w JOIN p ON p.position = w.position + 1)

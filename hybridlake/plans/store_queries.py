@@ -286,13 +286,13 @@ def co_change(spark: SparkSession, d: str) -> DataFrame:
 
 _PR = "".join(
     f""", r{i + 1} AS MATERIALIZED (SELECT v.id, 0.15 / n.n + 0.85 * coalesce(sum(r{i}.rank / o.d), 0) AS rank FROM v CROSS JOIN n LEFT JOIN s ON s.dst = v.id LEFT JOIN r{i} ON r{i}.id = s.src LEFT JOIN o ON o.src = s.src GROUP BY v.id, n.n)"""
-    for i in range(5)
+    for i in range(100)
 )
 
 
 @R.add(
     "pagerank",
-    f"{_DIRECTED}, v AS MATERIALIZED (SELECT src AS id FROM s UNION SELECT dst FROM s), n AS (SELECT count(*) AS n FROM v), o AS MATERIALIZED (SELECT src, count(*) AS d FROM s GROUP BY src), r0 AS MATERIALIZED (SELECT id, 1.0 / n.n AS rank FROM v, n){_PR} SELECT id, round(rank::DOUBLE, 9) AS rank FROM r5",
+    f"{_DIRECTED}, v AS MATERIALIZED (SELECT src AS id FROM s UNION SELECT dst FROM s), n AS (SELECT count(*) AS n FROM v), o AS MATERIALIZED (SELECT src, count(*) AS d FROM s GROUP BY src), r0 AS MATERIALIZED (SELECT id, 1.0 / n.n AS rank FROM v, n){_PR} SELECT id, round(rank::DOUBLE, 9) AS rank FROM r100",
 )
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(_directed(spark, d)).select("id", F.round("rank", 9).alias("rank"))

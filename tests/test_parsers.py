@@ -1,9 +1,11 @@
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from hybridlake.functions.text import uuid5_url
 from hybridlake.parsers import brace_source, python_source
+from hybridlake.parsers.model import node_id
 from hybridlake.parsers.registry import module_of, node_category, parse_files
 from hybridlake.sources import workspace
 
@@ -23,7 +25,7 @@ def test_python():
     assert {k: v["type"] for k, v in nodes.items()} == {"x": "module", "K": "class", "m": "method", "helper": "function"}
     assert nodes["m"]["fqn"] == "a/x.py::K::m" and nodes["m"]["is_async"] and nodes["m"]["signature"] == "async def m(self, x: D) -> int:" and nodes["K"]["docstring"] == "Kdoc."
     i = {k: v["id"] for k, v in nodes.items()}
-    assert {(i["K"], i["m"], "CONTAINS"), (i["m"], "__unresolved__::helper", "CALLS"), (i["m"], "__unresolved_fqn__::a.b.C", "ANNOTATED_WITH"), (i["x"], "__unresolved_fqn__::a.b.C", "IMPORTS"), (i["x"], "__unresolved__::os", "IMPORTS"), (i["helper"], "__unresolved__::join", "CALLS")} == edges
+    assert {(i["K"], i["m"], "CONTAINS"), (i["m"], "__unresolved__::helper", "CALLS"), (i["m"], "__unresolved_fqn__::a.b.C", "ANNOTATED_WITH"), (i["m"], "__unresolved__::int", "ANNOTATED_WITH"), (i["x"], "__unresolved_fqn__::a.b.C", "IMPORTS"), (i["x"], "__unresolved__::os", "IMPORTS"), (i["helper"], "__unresolved__::join", "CALLS")} == edges
     assert python_source.parse("a.py", "def (").nodes == []
 
 
@@ -31,7 +33,7 @@ def test_brace_languages():
     nodes, edges = by(brace_source.parse("p/Box.java", JAVA, "java"))
     assert nodes["Box"]["docstring"] == "Holds things." and nodes["get"]["type"] == "method" and nodes["get"]["raw_body"].endswith("return a; }") and (nodes["Box"]["id"], nodes["get"]["id"], "CONTAINS") in edges
     nodes, edges = by(brace_source.parse("t.ts", TS, "typescript"))
-    assert {k: v["type"] for k, v in nodes.items()} == {"t": "module", "A": "class", "run": "method", "f": "function", "g": "function"} and (nodes["t"]["id"], "__unresolved__::tool", "IMPORTS") in edges
+    assert {k: v["type"] for k, v in nodes.items()} == {"A": "class", "run": "method", "f": "function", "g": "function"} and (node_id("t.ts"), "__unresolved__::tool", "IMPORTS") in edges and {k for *_, k in edges} == {"IMPORTS", "CONTAINS"}
     nodes, edges = by(brace_source.parse("c.cs", CS, "csharp"))
     assert nodes["N"]["type"] == "property" and (nodes["Go"]["id"], "__unresolved__::Call", "CALLS") in edges and (nodes["C"]["id"], "__unresolved__::Base", "INHERITS") in edges and (nodes["C"]["id"], "__unresolved__::IThing", "IMPLEMENTS") in edges
     nodes, _ = by(brace_source.parse("c.c", C, "c"))
@@ -61,3 +63,28 @@ def test_git_log_and_ids(spark):
     names = ["", "a/b.py::C", "é漢"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", uuid5_url(F.col("n")).alias("u")).collect()
     assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, r.n)) for r in got)
+
+
+def test_python_edges():
+    source = "import os.path\nimport a.b as c\nfrom . import x\nfrom m import _P, Q\ndef f(a: str, b: _P, *, k: Q) -> Q:\n    _hidden()\n    a.run()\n"
+    parsed = python_source.parse("p.py", source)
+    assert {(t, k) for _, t, k, *_ in parsed.edges} == {
+        ("__unresolved__::os", "IMPORTS"), ("__unresolved__::c", "IMPORTS"), ("__unresolved_fqn__::m._P", "IMPORTS"), ("__unresolved_fqn__::m.Q", "IMPORTS"), ("__unresolved__::str", "ANNOTATED_WITH"), ("__unresolved_fqn__::m.Q", "ANNOTATED_WITH"), ("__unresolved__::run", "CALLS"),
+    }
+
+
+def test_csharp_annotations_and_far_comments():
+    _, edges = by(brace_source.parse("c.cs", "class C {\n  public Box Go(Lid lid, List<Cup> cups, String s) { return null; }\n}\n", "csharp"))
+    assert {t for _, t, k in edges if k == "ANNOTATED_WITH"} == {"__unresolved__::Box", "__unresolved__::Lid", "__unresolved__::Cup"}
+    long = "/** " + "Tells a lot. " * 1000 + "*/\nint f(int a) { return a; }\n"
+    nodes, _ = by(brace_source.parse("c.c", long, "c"))
+    assert len(nodes["f"]["docstring"]) > 12_000
+    wide = "class C extends " + ", ".join(f"Base{i}" for i in range(200)) + " { int f(int a) throws " + ", ".join(f"E{i}" for i in range(200)) + " { return a; } }"
+    assert "f" in by(brace_source.parse("c.java", wide, "java"))[0]
+
+
+def test_long_files_take_linear_time():
+    start = time.time()
+    brace_source.parse("big.ts", "".join(f"// Says {i}.\nfunction f{i}(a: number) {{\n  return g{i}(a);\n}}\n\n" for i in range(10_000)), "typescript")
+    python_source.parse("big.py", "".join(f"def f{i}(a):\n    b = g{i}(a)\n    return h{i}(b)\n\n\n" for i in range(10_000)))
+    assert time.time() - start < 40
