@@ -8,14 +8,14 @@ from hybridlake.functions import text as T
 from hybridlake.operators import analytics as A
 from hybridlake.operators import fusion, lexical, store, vector
 
-DOCS = [(1, "Red harbor, red queue"), (2, "harbour of the queue queue"), (3, "nothing here"), (4, None), (5, ""), (6, "Harbor café résumé x"), (7, "red " * 50)]
+DOCS = [(1, "Red harbor, red queue"), (2, "harbour of the queue queue"), (3, "nothing here"), (4, None), (5, ""), (6, "Harbor café résumé x"), (7, "red " * 50), (8, "the foo_bar table, foo bars"), (9, "bar foo; foo. bar"), (10, "foo xbar")]
 
 
 def docs(spark, rows=DOCS):
     return spark.createDataFrame(rows, "id long, text string")
 
 
-@pytest.mark.parametrize("terms", [["harb"], ["red", "queue"], ["caf", "x"]])
+@pytest.mark.parametrize("terms", [["harb"], ["red", "queue"], ["caf", "x"], ["Café"], ["foo_bar"], ["foo-ba", "queue"], ["the_queue_que"], ["red_red"]])
 def test_prefix_rank_is_that_of_a_full_text_index(spark, terms):
     db = sqlite3.connect(":memory:")
     try:
@@ -39,10 +39,15 @@ def test_rank_edge_cases(spark):
 def test_postings_rank_the_same(spark):
     d = docs(spark)
     n, mean = d.agg(F.count(F.lit(1)), F.avg(F.size(T.index_tokens(F.col("text"))))).first()
-    by_index = lexical.rank_postings(lexical.postings(d, F.col("id"), F.col("text")), ["red", "qu"], n, mean)
-    by_scan = lexical.prefix_rank(d, F.col("id"), [F.col("text")], ["red", "qu"])
+    index = lexical.postings(d, F.col("id"), F.col("text"))
     close = lambda df: {r.key: round(r.score, 9) for r in df.collect()}
-    assert close(by_index) == close(by_scan)
+    for terms in (["red", "qu"], ["CAFÉ", "foo_bar", "q"], ["--"]):
+        assert close(lexical.rank_postings(index, terms, n, mean)) == close(lexical.prefix_rank(d, F.col("id"), [F.col("text")], terms)), terms
+
+
+def test_phrases_stay_within_a_column(spark):
+    d = spark.createDataFrame([(1, "foo", "bar"), (2, "foo bar", "")], "id long, a string, b string")
+    assert [r.key for r in lexical.prefix_rank(d, F.col("id"), [F.col("a"), F.col("b")], ["foo_bar"]).collect()] == [2]
 
 
 def test_nearest(spark):
