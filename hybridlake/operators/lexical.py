@@ -82,7 +82,8 @@ def okapi(df: DataFrame, key: Column, text: Column, query: str, *, k1: float = 1
     terms = [t for t in re.split(r"[^\w]+", query.lower()) if len(t) > 2]
     names = list(dict.fromkeys(terms))
     base = df.select(key.alias("key"), F.lit(True).alias("_in"), word_tokens(text, 2).alias("_t")).withColumn("_d", F.size("_t"))
-    counts = [F.size(F.filter("_t", lambda x, p=p: x == p)) for p in names]
+    equal = lambda p: F.size(F.filter("_t", lambda x: x == p))
+    counts = [equal(p) for p in names]
 
     def score(tf: list[Column], length: Column, seen: dict) -> Column:
         total = F.lit(0.0)

@@ -12,7 +12,7 @@ rows returns them all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,11 +36,36 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / size)
 
 
-def nearest(df: DataFrame, key: Column, vector: Column, query: list[float], k: int) -> DataFrame:
-    """(key, distance) of the k rows nearest to one query vector by Euclidean distance."""
+def embed(df: DataFrame, key: Column, text: Column, model: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(key, vector): each text's vector from the model, scaled to length 1; the model gets batches of texts.
+
+    Null texts are embedded as empty ones; texts of a zero vector are left out.
+    """
+    picked = df.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    kind = picked.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = np.asarray(model(pdf["text"].tolist()), np.float64).reshape(len(pdf), -1)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            some = size[:, 0] > 0
+            yield pd.DataFrame({"key": pdf["key"][some], "vector": list(v[some] / size[some])})
+
+    return picked.mapInPandas(run, f"key {kind}, vector array<double>")
+
+
+def put_vectors(old: DataFrame, new: DataFrame, base: DataFrame) -> DataFrame:
+    """The vector table (key, vector) after an upsert: new vectors replace old ones, and only keys of `base` (key) are kept."""
+    fresh = new.dropDuplicates(["key"]).join(base.select("key").distinct(), "key", "left_semi")
+    return old.select("key", "vector").join(fresh.select("key"), "key", "left_anti").unionByName(fresh.select("key", "vector"))
+
+
+def nearest(df: DataFrame, key: Column, vector: Column, query: list[float], k: int, digits: int | None = None) -> DataFrame:
+    """(key, distance) of the k rows nearest to one query vector by Euclidean distance, rounded if digits are given."""
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = df.select(key.alias("key"), vector.alias("_v")).where(F.col("key").isNotNull() & (F.size("_v") == len(query)))
-    return rows.select("key", l2(F.col("_v"), q).alias("distance")).orderBy("distance", "key").limit(k)
+    distance = l2(F.col("_v"), q)
+    return rows.select("key", (distance if digits is None else F.round(distance, digits)).alias("distance")).orderBy("distance", "key").limit(k)
 
 
 def _blocks(df: DataFrame, id_: Column, vector: Column, name: str) -> DataFrame:

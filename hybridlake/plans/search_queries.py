@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hybridlake.functions import text as T
-from hybridlake.operators import fusion, lexical, vector
+from hybridlake.functions.embedding import hashing_model, memory_text
+from hybridlake.operators import fusion, lexical, retrieval, vector
 from hybridlake.plans.registry import Registry
 from hybridlake.sources.tables import table
 
@@ -18,16 +19,34 @@ _TOKENS = "list_filter(regexp_split_to_array(" + _FOLD + r", '[^\p{{L}}\p{{N}}]+
 
 def rank_sql(name: str, source: str, key: str, texts: list[str], terms: list[str], where: str = "true") -> str:
     """CTEs {name}_t, {name}_s and {name} (key, score): the prefix ranking in SQL."""
-    tokens = " || ".join(_TOKENS.format(t) for t in texts)
-    tf = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{p}')))::DOUBLE AS tf{i}" for i, p in enumerate(terms))
+    columns = ", ".join(f"{_TOKENS.format(t)} AS t{i}" for i, t in enumerate(texts))
+
+    def count(t: str, words: list[str]) -> str:
+        if len(words) == 1:
+            return f"len(list_filter({t}, lambda x: starts_with(x, '{words[0]}')))"
+        same = " AND ".join([*(f"{t}[i + {j}] = '{w}'" for j, w in enumerate(words[:-1])), f"starts_with({t}[i + {len(words) - 1}], '{words[-1]}')"])
+        return f"len(list_filter(range(1, len({t}) + 2 - {len(words)}), lambda i: {same}))"
+
+    tf = ", ".join(f"({' + '.join(count(f't{c}', p.split()) for c in range(len(texts)))})::DOUBLE AS tf{i}" for i, p in enumerate(terms))
+    length = " + ".join(f"len(t{c})" for c in range(len(texts)))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * d / avgd))" for i in range(len(terms)))
     hit = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
-    return f"""{name}_t AS (SELECT key, keep, len(t) AS d, {tf} FROM (SELECT {key} AS key, ({where}) AS keep, {tokens} AS t FROM {source})),
+    return f"""{name}_t AS (SELECT key, keep, {length} AS d, {tf} FROM (SELECT {key} AS key, ({where}) AS keep, {columns} FROM {source})),
     {name}_s AS (SELECT count(*) AS n, avg(d) AS avgd, {df} FROM {name}_t),
     {name} AS (SELECT key, {score} AS score FROM {name}_t, {name}_s WHERE keep AND ({hit}))"""
 
 
+def vector_sql(name: str, source: str, key: str, text: str, query: str) -> str:
+    """CTEs of {name} (key, place): rows by distance of their hashing vectors to the query's."""
+    bucket = "('0x' || left(md5(t), 6))::BIGINT % 64"
+    return f"""{name}_b AS (SELECT key, {bucket} AS b, count(*)::DOUBLE AS c FROM (SELECT {key} AS key, unnest({_TOKENS.format(text)}) AS t FROM {source}) GROUP BY ALL),
+    {name}_q AS (SELECT {bucket} AS b, count(*)::DOUBLE AS c FROM (SELECT unnest(string_split('{query}', ' ')) AS t) GROUP BY ALL),
+    {name}_c AS (SELECT key, sqrt(sum(v.c * v.c)) AS n, coalesce(sum(v.c * q.c), 0) AS dot FROM {name}_b v LEFT JOIN {name}_q q USING (b) GROUP BY key),
+    {name}_d AS (SELECT key, round(sqrt(greatest(0, 2 - 2 * dot / (n * (SELECT sqrt(sum(c * c)) FROM {name}_q)))), 9) AS distance FROM {name}_c),
+    {name} AS (SELECT key, row_number() OVER (ORDER BY distance, key) - 1 AS place FROM {name}_d)"""
+
+
 # --- single rankings -------------------------------------------------------------------------
 
 _TERMS = ["harbor", "queue", "latt"]
@@ -109,7 +128,6 @@ def symbol_search(spark: SparkSession, d: str) -> DataFrame:
 _QUERY = "release queue"
 _MEMORY_TERMS = ["release", "queue"]
 _LIMIT = 10
-_NORMAL_SOURCE = r"regexp_replace(lower(trim(coalesce(source, 'general'))), '[\s-]+', '_', 'g')"
 _LISTS = f"""
 {rank_sql('m', 'documents', 'doc_id', ['text'], _MEMORY_TERMS)},
 fts AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) - 1 AS place FROM m QUALIFY place < 20),
@@ -140,32 +158,6 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rrf(_document_lists(spark, d)).select(F.col("key").alias("doc_id"), F.round("rrf", 9).alias("rrf"))
 
 
-_SOURCE_CATEGORY = "CASE WHEN {0} IN ('rule_docs') THEN 'rule' WHEN {0} IN ('skill_docs') THEN 'skill' WHEN {0} IN ('readme_pages', 'changelogs') THEN 'resource' ELSE {0} END"
-
-
-def _category(source):
-    name = F.regexp_replace(F.lower(F.trim(F.coalesce(source, F.lit("general")))), r"[\s-]+", "_")
-    return F.when(name == "rule_docs", "rule").when(name == "skill_docs", "skill").when(name.isin("readme_pages", "changelogs"), "resource").otherwise(name)
-
-
-@R.add(
-    "hybrid_search",
-    f"""WITH {_LISTS}, {_RRF_SQL},
-    b AS (SELECT d.doc_id, {_SOURCE_CATEGORY.format(_NORMAL_SOURCE)} AS category, left(d.text, 200) AS snippet, rrf, lower(d.doc_id::VARCHAR) AS k FROM rrf JOIN documents d ON d.doc_id = rrf.key),
-    s AS (SELECT *, CASE WHEN k = '{_QUERY}' THEN 0.5 WHEN contains(k, '{_QUERY}') THEN 0.1 ELSE 0.0 END
-      + CASE WHEN category IN ('rule', 'skill', 'decision', 'protocol') THEN 0.05 WHEN category IN ('resource', 'example') THEN -0.3 ELSE 0.0 END AS boost FROM b)
-    SELECT doc_id, category, snippet, round(rrf, 6) AS rrf, round(boost::DOUBLE, 6) AS boost, round(rrf + boost::DOUBLE, 6) AS total_score FROM s ORDER BY rrf + boost DESC, doc_id LIMIT {_LIMIT}""",
-)
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Full text and vectors, each twice the limit, fused, boosted, cut to the limit."""
-    fused = fusion.rrf(_document_lists(spark, d))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), _category(F.col("source")).alias("category"), F.substring("text", 1, 200).alias("snippet"))
-    # The fused list holds at most four times the limit.
-    both = docs.join(F.broadcast(fused), "key").withColumn("boost", fusion.boost(F.col("key").cast("string"), F.col("category"), _QUERY))
-    best = both.orderBy((F.col("rrf") + F.col("boost")).desc(), "key").limit(_LIMIT)
-    return best.select(F.col("key").alias("doc_id"), "category", "snippet", F.round("rrf", 6).alias("rrf"), F.round("boost", 6).alias("boost"), F.round(F.col("rrf") + F.col("boost"), 6).alias("total_score"))
-
-
 @R.add(
     "concat_search",
     f"""WITH {_LISTS}, u AS (SELECT key, place, 0 AS l FROM vec UNION ALL SELECT key, place, 1 FROM fts),
@@ -182,53 +174,67 @@ def concat_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SKILL_ROWS = "one AS (SELECT key, unnest(max({'u': updated_at, 'content': content, 'tags': tags, 'category': category})) FROM memories GROUP BY key)"
+_MEMORY_TEXT = "'category: ' || coalesce(category, '') || chr(10) || coalesce(content, '')"
+_BY_CATEGORY = "CASE WHEN lower(category) IN ('rule', 'skill', 'decision', 'protocol') THEN 0.05 WHEN lower(category) IN ('resource', 'example') THEN -0.3 ELSE 0.0 END"
+
+
+def _knowledge(name: str, terms: list[str], k: int, where: str = "true") -> str:
+    return f"{rank_sql(name + 'r', 'one', 'key', ['key', 'content', 'tags', 'category'], terms, where)}, {name} AS (SELECT key, row_number() OVER (ORDER BY round(score, 9) DESC, key) - 1 AS place FROM {name}r QUALIFY place < {k})"
+
+
+def with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each key's latest memory with the hashing vector of its text."""
+    one = table(spark, d, "memories").groupBy("key").agg(F.max(F.struct("updated_at", "content", "tags", "category")).alias("m")).select("key", "m.content", "m.tags", "m.category")
+    return one.join(vector.embed(one, F.col("key"), memory_text(F.col("category"), F.col("content")), hashing_model), "key", "left")
+
+
+def text_vector(query: str) -> list[float]:
+    v = hashing_model([query])[0]
+    return (v / (v @ v) ** 0.5).tolist() if v.any() else []
+
+
+@R.add(
+    "hybrid_search",
+    f"""WITH {_SKILL_ROWS}, {_knowledge('fts', ['legacy queue'], 20)}, {vector_sql('v', 'one', 'key', _MEMORY_TEXT, 'legacy queue')},
+    rrf AS (SELECT key, sum(1 / (place + 60)) AS rrf FROM (SELECT key, place FROM fts UNION ALL SELECT key, place FROM v WHERE place < 20) GROUP BY key),
+    s AS (SELECT key, category, left(content, 200) AS snippet, rrf, CASE WHEN lower(key) = 'legacy-queue' THEN 0.5 WHEN contains(lower(key), 'legacy-queue') THEN 0.1 ELSE 0.0 END + {_BY_CATEGORY} AS boost FROM rrf JOIN one USING (key))
+    SELECT key, category, snippet, round(rrf, 6) AS rrf, round(boost::DOUBLE, 6) AS boost, round(rrf + boost::DOUBLE, 6) AS total_score FROM s ORDER BY round(s.rrf + s.boost::DOUBLE, 6) DESC, key LIMIT 10""",
+)
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Memories by full text and vectors, each twice the limit, fused, boosted, cut to the limit."""
+    found = retrieval.hybrid(with_vectors(spark, d), "legacy-queue", text_vector("legacy queue"))
+    return found.withColumns({"rrf": F.round("rrf", 6), "boost": F.round("boost", 6)})
 
 
 @R.add(
     "skill_search",
-    f"""WITH {_SKILL_ROWS}, {rank_sql('m', 'one', 'key', ['key', 'content', 'tags', 'category'], ['release', 'queue'], "category = 'skill'")},
-    fts AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) - 1 AS place FROM m QUALIFY place < 10),
-    rrf AS (SELECT key, sum(1 / (place + 60)) AS rrf FROM fts GROUP BY key)
-    SELECT o.key, left(o.content, 400) AS summary, round(rrf, 6) AS score FROM rrf JOIN one o USING (key)""",
+    f"""WITH {_SKILL_ROWS}, {_knowledge('fts', ['release', 'queue'], 10, "category = 'skill'")}, {vector_sql('v', 'one', 'key', _MEMORY_TEXT, 'release queue')},
+    rrf AS (SELECT key, sum(1 / (place + 60)) AS rrf FROM (SELECT key, place FROM fts UNION ALL SELECT key, place FROM v WHERE place < 20) GROUP BY key)
+    SELECT o.key, left(o.content, 400) AS summary, round(rrf, 6) AS score FROM rrf JOIN one o USING (key) ORDER BY round(rrf.rrf, 6) DESC, o.key LIMIT 10""",
 )
 def skill_search(spark: SparkSession, d: str) -> DataFrame:
-    """Skills by full text; memories have no vectors in these tables, so their list is empty."""
-    one = table(spark, d, "memories").groupBy("key").agg(F.max(F.struct("updated_at", "content", "tags", "category")).alias("m")).select("key", "m.content", "m.tags", "m.category")
-    ranked = lexical.prefix_rank(one, F.col("key"), [F.col(c) for c in ("key", "content", "tags", "category")], T.symbol_query("release queue"), where=F.col("category") == "skill")
-    fused = fusion.rrf([fusion.ranked_list(ranked, "fts", [F.col("score").desc(), F.col("key")], 10)])
-    return one.join(F.broadcast(fused), "key").select("key", F.substring("content", 1, 400).alias("summary"), F.round("rrf", 6).alias("score"))
+    return retrieval.skills(with_vectors(spark, d), "release queue", text_vector("release queue"))
 
 
-_UNIFIED = f"""WITH {_LISTS},
-{_SKILL_ROWS}, {rank_sql('k', 'one', 'key', ['key', 'content', 'tags', 'category'], ['release', 'queue'])},
-knowledge AS (SELECT 'knowledge:' || key AS key, row_number() OVER (ORDER BY score DESC, key) - 1 AS place FROM k QUALIFY place < 20),
-nod AS (SELECT id, unnest(max({{'a': ingested_at, 'name': name, 'fqn': fqn, 'docstring': docstring, 'signature': signature}})) FROM nodes GROUP BY id),
-{rank_sql('c', 'nod', 'id', ['name', 'fqn', 'docstring', 'signature'], ['release', 'queue'])},
-code AS (SELECT 'code:' || n.fqn AS key, row_number() OVER (ORDER BY c.score DESC, n.id) - 1 AS place FROM c JOIN nod n ON n.id = c.key QUALIFY place < 10),
+_CODE_TEXT = "concat_ws(chr(10), concat_ws(' ', type, fqn), 'Sig: ' || signature, left(raw_body, 1200))"
+_UNIFIED = f"""WITH {_SKILL_ROWS}, {_knowledge('kf', ['queue'], 20)}, {vector_sql('kv', 'one', 'key', _MEMORY_TEXT, 'queue')},
+nod AS (SELECT id, unnest(max({{'a': ingested_at, 'type': type, 'name': name, 'fqn': fqn, 'docstring': docstring, 'signature': signature, 'raw_body': raw_body}})) FROM nodes GROUP BY id),
+{rank_sql('cr', 'nod', 'id', ['name', 'fqn', 'docstring', 'signature'], ['queue'])},
+cf AS (SELECT key, row_number() OVER (ORDER BY round(score, 9) DESC, key) - 1 AS place FROM cr QUALIFY place < 10), {vector_sql('cv', 'nod', 'id', _CODE_TEXT, 'queue')},
 ob AS (SELECT id, unnest(min({{'a': ingested_at, 'content': content, 'created_at': created_at, 'type': type}})) FROM observations GROUP BY id),
-obs AS (SELECT 'observation:' || id AS key, row_number() OVER (ORDER BY created_at DESC, id) - 1 AS place FROM ob WHERE content ILIKE '%release%' QUALIFY place < 20),
-docs AS (SELECT 'document:' || key AS key, place FROM vec),
-f AS (SELECT key, sum(1 / (place + 60)) AS rrf FROM (FROM knowledge UNION ALL FROM code UNION ALL FROM obs UNION ALL FROM docs) GROUP BY key)
-SELECT key, round(rrf, 6) AS score FROM f ORDER BY f.rrf DESC, key LIMIT {_LIMIT}"""
+obs AS (SELECT id AS key, row_number() OVER (ORDER BY created_at DESC, id) - 1 AS place FROM ob WHERE content ILIKE '%queue%' QUALIFY place < 20),
+every AS (SELECT 'code:' || n.fqn AS key, place FROM cv JOIN nod n ON n.id = cv.key WHERE place < 20 UNION ALL SELECT 'knowledge:' || key, place FROM kv WHERE place < 20 UNION ALL SELECT 'observation:' || key, place FROM obs
+  UNION ALL SELECT 'knowledge:' || key, place FROM kf UNION ALL SELECT 'code:' || n.fqn, place FROM cf JOIN nod n ON n.id = cf.key),
+f AS (SELECT key, sum(1 / (place + 60)) AS rrf FROM every GROUP BY key),
+s AS (SELECT f.key, round(rrf + CASE WHEN o.key IS NULL THEN 0.0 ELSE CASE WHEN lower(o.key) = 'queue' THEN 0.5 WHEN contains(lower(o.key), 'queue') THEN 0.1 ELSE 0.0 END + {_BY_CATEGORY} END::DOUBLE, 6) AS score FROM f LEFT JOIN one o ON f.key = 'knowledge:' || o.key)
+SELECT key, score FROM s ORDER BY s.score DESC, key LIMIT 10"""
 
 
 @R.add("unified_search", _UNIFIED)
 def unified_search(spark: SparkSession, d: str) -> DataFrame:
-    """One fused list over documents (vectors), knowledge and code (full text) and observations (newest that contain the word)."""
-    one = table(spark, d, "memories").groupBy("key").agg(F.max(F.struct("updated_at", "content", "tags", "category")).alias("m")).select("key", "m.content", "m.tags", "m.category")
-    known = lexical.prefix_rank(one, F.col("key"), [F.col(c) for c in ("key", "content", "tags", "category")], T.memory_query(_QUERY))
-    nodes = latest_nodes(spark, d, ["name", "fqn", "docstring", "signature"])
-    code = lexical.prefix_rank(nodes, F.struct("id", "fqn"), [F.col(c) for c in ("name", "fqn", "docstring", "signature")], T.symbol_query(_QUERY))
-    seen = table(spark, d, "observations").groupBy("id").agg(F.min(F.struct("ingested_at", "content", "created_at", "type")).alias("m")).select("id", "m.content", "m.created_at").where(F.col("content").ilike("%release%"))
-    vec = _document_lists(spark, d)[1]
-
-    def named(df: DataFrame, domain: str, key: str) -> DataFrame:
-        return df.select(F.concat(F.lit(f"{domain}:"), F.col(key).cast("string")).alias("key"), "place")
-
-    lists = [
-        named(fusion.ranked_list(known, "knowledge", [F.col("score").desc(), F.col("key")], 2 * _LIMIT), "knowledge", "key"),
-        named(fusion.ranked_list(code.select("key.id", "key.fqn", "score"), "code", [F.col("score").desc(), F.col("id")], _LIMIT), "code", "fqn"),
-        named(fusion.ranked_list(seen, "observation", [F.col("created_at").desc(), F.col("id")], 2 * _LIMIT), "observation", "id"),
-        named(vec, "document", "key"),
-    ]
-    return fusion.rrf(lists).orderBy(F.col("rrf").desc(), "key").limit(_LIMIT).select("key", F.round("rrf", 6).alias("score"))
+    """One fused list over code and knowledge (vectors and full text) and observations (newest that contain the query)."""
+    columns = ["type", "name", "fqn", "docstring", "signature", "raw_body"]
+    nodes = latest_nodes(spark, d, columns)
+    nodes = nodes.join(vector.embed(nodes, F.col("id"), T.embedding_text(*[F.col(c) for c in ("type", "fqn", "signature", "raw_body")]), hashing_model).withColumnRenamed("key", "id"), "id", "left")
+    seen = table(spark, d, "observations").groupBy("id").agg(F.min(F.struct("ingested_at", "content", "created_at", "type")).alias("m")).select("id", "m.content", "m.created_at", "m.type")
+    return retrieval.unified(with_vectors(spark, d), nodes, seen, "queue", text_vector("queue"))
