@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybridlake.llm import code_origin, doc_pairs, mixing, near_dup, packing, quality, splitting, tokens
@@ -86,6 +86,26 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p5_pieces(spark, d)
 
 
+@R.add(
+    "p5_tiling",
+    """
+    SELECT 'nodes' AS table_name, id AS item_key, length(b)::BIGINT AS n_chars, md5(b) AS text_md5, true AS within_limit, true AS overlaps_repeat FROM (SELECT id, unnest(max({'a': ingested_at, 'b': raw_body})) FROM nodes WHERE length(raw_body) > 2500 GROUP BY id)
+    UNION ALL
+    SELECT 'memories', key, length(c), md5(c), true, true FROM (SELECT key, unnest(max({'u': updated_at, 'c': content})) FROM memories GROUP BY key) WHERE length(c) > 2500
+    """,
+)
+def p5_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces add up to: joined without their overlaps they are the text, and each overlap repeats the end of the piece before."""
+    p = _p5_pieces(spark, d)
+    body = F.substr("piece", F.col("n_overlap") + 1)
+    before = F.lag("piece").over(Window.partitionBy("table_name", "item_key").orderBy("piece_no"))
+    repeats = F.when(F.col("piece_no") == 0, F.col("n_overlap") == 0).otherwise((F.col("n_overlap") <= 400) & F.endswith(before, F.substring("piece", F.lit(1), F.col("n_overlap"))))
+    rows = p.withColumns({"repeats": repeats, "body": body}).groupBy("table_name", "item_key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "body"))), lambda x: x["body"]), "").alias("text"), F.bool_and(F.length("piece") <= 2500).alias("within_limit"), F.bool_and("repeats").alias("overlaps_repeat")
+    )
+    return rows.select("table_name", "item_key", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"), "within_limit", "overlaps_repeat")
+
+
 # --- p6: filling containers -----------------------------------------------------------------
 
 
@@ -106,6 +126,16 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(_p6_packed(spark, d))
 
 
+@R.add("p6_placed", "SELECT profile, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, true AS all_fit, true AS cut_only_if_larger FROM pack_profiles")
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every document is placed, containers keep their capacity, and none is cut that fits whole."""
+    p = _p6_packed(spark, d)
+    used = p.groupBy("profile", "capacity", "shard", "container").agg(F.sum("n_tokens").alias("used")).groupBy("profile").agg(F.bool_and(F.col("used") <= F.col("capacity")).alias("all_fit"))
+    docs = p.groupBy("profile", "capacity", "item_id").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("pieces"))
+    each = docs.groupBy("profile").agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and((F.col("pieces") == 1) | (F.col("size") > F.col("capacity"))).alias("cut_only_if_larger"))
+    return each.join(used, "profile")
+
+
 # --- p7: mixing sources ---------------------------------------------------------------------
 
 
@@ -124,6 +154,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d)[1]
 
 
+_SOURCE = r"nullif(regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s-]+', '_', 'g'), '')"
+
+
+@R.add(
+    "p7_kept",
+    f"WITH h AS (SELECT {_SOURCE} AS s, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1) SELECT t.source, t.target_share, coalesce(h.n, 0) AS n_docs, true AS repeats_kept, true AS share_reached FROM mix_targets t LEFT JOIN h ON h.s = {_SOURCE.replace('source', 't.source')}",
+)
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether no record is used more often than allowed, and shares are within two points of the reachable ones."""
+    report = _p7(spark, d)[1]
+    most = table(spark, d, "mix_targets").select("source", "max_repeats").withColumn("_s", mixing.source_name(F.col("source")))
+    rows = most.join(F.broadcast(report.withColumnRenamed("source", "_s")), "_s")
+    return rows.select("source", "target_share", "n_docs", (F.col("max_copies") <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(F.col("actual_share") - F.col("reachable_share")) <= 0.02).alias("share_reached"))
+
+
 # --- p8: text quality -----------------------------------------------------------------------
 
 
@@ -141,6 +186,11 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _p8_scored(spark, d)
 
 
+@R.add("p8_words", r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nl}\p{No}]+'))::BIGINT AS n_words FROM documents")
+def p8_words(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), F.col("doc_id"), F.col("lang"), F.col("text")).select("doc_id", "n_words")
+
+
 # --- p4: functions with their documentation -------------------------------------------------
 
 
