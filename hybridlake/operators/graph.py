@@ -258,11 +258,65 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def coupling(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    """(module, ca, ce, instability): modules that depend on it, that it depends on, and ce / (ca + ce); edges: (src, dst) of ids, modules: (id, module)."""
+    """(module, ca, ce, instability, abstraction, distance): modules that depend on it, that it depends on, ce / (ca + ce),
+    the share of abstract symbols, and |abstraction + instability - 1|; edges: (src, dst) of ids, modules: (id, module, is_abstract)."""
     m1, m2 = modules.select(F.col("id").alias("src"), F.col("module").alias("_a")), modules.select(F.col("id").alias("dst"), F.col("module").alias("_b"))
     pairs = edges.select("src", "dst").join(m1, "src").join(m2, "dst").where("_a != _b").select("_a", "_b").distinct()
     ce = pairs.groupBy(F.col("_a").alias("module")).agg(F.count(F.lit(1)).alias("ce"))
     ca = pairs.groupBy(F.col("_b").alias("module")).agg(F.count(F.lit(1)).alias("ca"))
-    both = modules.select("module").where("module is not null").distinct().join(ca, "module", "left").join(ce, "module", "left").na.fill(0, ["ca", "ce"])
+    share = F.avg(F.coalesce("is_abstract", F.lit(False)).cast("double")).alias("abstraction")
+    both = modules.where("module is not null").groupBy("module").agg(share).join(ca, "module", "left").join(ce, "module", "left").na.fill(0, ["ca", "ce"])
     total = F.col("ca") + F.col("ce")
-    return both.select("module", "ca", "ce", F.when(total == 0, 0.0).otherwise(F.col("ce") / total).alias("instability"))
+    out = both.select("module", "ca", "ce", F.when(total == 0, 0.0).otherwise(F.col("ce") / total).alias("instability"), "abstraction")
+    return out.withColumn("distance", F.abs(F.col("abstraction") + F.col("instability") - 1))
+
+
+def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
+    """(cycle, length): the sets of vertices, sorted, of directed cycles of at most `most` vertices, each once.
+
+    Paths grow from their least vertex on, one join a step; only vertices that are entered and left take part.
+    """
+    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    inner = e.select(F.col("src").alias("v")).intersect(e.select(F.col("dst").alias("v")))
+    e = cut_lineage(e.join(inner.withColumnRenamed("v", "src"), "src", "left_semi").join(inner.withColumnRenamed("v", "dst"), "dst", "left_semi"))
+    found = e.where("src = dst").select(F.array("src").alias("cycle"))
+    paths = e.where("src < dst").select(F.array("src", "dst").alias("p"))
+    for n in range(2, most + 1):
+        last = paths.withColumn("src", F.element_at("p", -1)).join(e, "src")
+        found = found.unionByName(last.where(F.col("dst") == F.col("p")[0]).select(F.array_sort("p").alias("cycle")))
+        if n < most:
+            paths = cut_lineage(last.where((F.col("dst") > F.col("p")[0]) & ~F.array_contains("p", F.col("dst"))).select(F.concat("p", F.array("dst")).alias("p")))
+    return found.distinct().select("cycle", F.size("cycle").alias("length"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(id, betweenness): shares of shortest paths that lead through each vertex, times 2 / ((n - 1)(n - 2)).
+
+    sources: (id) from which paths start; all vertices without it. Paths of all sources are counted level
+    by level outwards, one join a level, and their shares summed up inwards.
+    """
+    e = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct())
+    vertices = cut_lineage(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    n = vertices.count()
+    front = cut_lineage((vertices if sources is None else sources.select("id").distinct().join(vertices, "id", "left_semi")).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
+    levels, seen = [front], front.select("s", "id")
+    while True:
+        step = front.join(e, front["id"] == e["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = cut_lineage(step.join(seen, ["s", "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = cut_lineage(seen.unionByName(front.select("s", "id")))
+    total, below = None, None
+    for level in reversed(levels):
+        here = level.withColumn("d", F.lit(0.0))
+        if below is not None:
+            far = below.select("s", F.col("id").alias("dst"), (F.lit(1.0) + F.col("d")).alias("_d"), F.col("paths").alias("_p"))
+            given = level.join(e, level["id"] == e["src"]).select("s", "id", "paths", "dst").join(far, ["s", "dst"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("_p") * F.col("_d")).alias("_in"))
+            here = level.join(given, ["s", "id"], "left").select("s", "id", "paths", F.coalesce("_in", F.lit(0.0)).alias("d"))
+        below = cut_lineage(here)
+        part = below.where("s != id").select("id", "d")
+        total = part if total is None else total.unionByName(part)
+    factor = 2.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    summed = (total if total is not None else vertices.select("id", F.lit(0.0).alias("d"))).groupBy("id").agg(F.sum("d").alias("_b"))
+    return vertices.join(summed, "id", "left").select("id", (F.coalesce("_b", F.lit(0.0)) * factor).alias("betweenness"))

@@ -40,7 +40,14 @@ def parse_relations(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d)[1]
 
 
-@R.add("lane_replay")
+@R.add(
+    "lane_replay",
+    """WITH RECURSIVE l AS (SELECT event_id AS seq, 'lane-' || user_id AS lane, 'agent-' || (event_id % 3) AS agent, CASE event_type WHEN 'purchase' THEN 'release' WHEN 'error' THEN 'force' ELSE 'acquire' END AS op, epoch(ts)::DOUBLE AS taken, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT lane, 0::BIGINT AS n, 0::BIGINT AS seq, true AS accepted, 'IDLE' AS status, NULL::VARCHAR AS holder, 0.0::DOUBLE AS locked_at FROM (SELECT DISTINCT lane FROM l)
+      UNION ALL SELECT lane, n, seq, ok, CASE WHEN NOT ok THEN status WHEN op = 'acquire' THEN 'BUSY' ELSE 'IDLE' END, CASE WHEN NOT ok THEN holder WHEN op = 'acquire' THEN agent END, CASE WHEN ok AND op = 'acquire' THEN taken WHEN ok THEN 0.0 ELSE locked_at END
+      FROM (SELECT l.lane, l.n, l.seq, l.op, l.agent, l.taken, r.status, r.holder, r.locked_at, CASE l.op WHEN 'force' THEN true WHEN 'release' THEN coalesce(r.holder = l.agent, false) ELSE NOT (r.status = 'BUSY' AND r.holder <> l.agent AND l.taken - r.locked_at <= 7200) END AS ok FROM r JOIN l ON l.lane = r.lane AND l.n = r.n + 1))
+    SELECT seq, lane, accepted, status, holder FROM r WHERE n > 0""",
+)
 def lane_replay(spark: SparkSession, d: str) -> DataFrame:
     """Events as lock requests: each user is a lane, event types are operations, items are agents."""
     op = F.when(F.col("event_type") == "purchase", "release").when(F.col("event_type") == "error", "force").otherwise("acquire")

@@ -298,18 +298,44 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(_directed(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@R.add("coupling", f"WITH {_NODES}, {_EDGES}, p AS (SELECT DISTINCT a.module AS x, b.module AS y FROM e JOIN one a ON a.id = e.source_id JOIN one b ON b.id = e.target_id WHERE a.module <> b.module), m AS (SELECT DISTINCT module FROM one WHERE module IS NOT NULL), c AS (SELECT m.module, (SELECT count(*) FROM p WHERE y = m.module) AS ca, (SELECT count(*) FROM p WHERE x = m.module) AS ce FROM m) SELECT module, ca, ce, round(CASE WHEN ca + ce = 0 THEN 0.0 ELSE ce / (ca + ce) END::DOUBLE, 6) AS instability FROM c")
+@R.add("coupling", f"WITH {_NODES}, {_EDGES}, p AS (SELECT DISTINCT a.module AS x, b.module AS y FROM e JOIN one a ON a.id = e.source_id JOIN one b ON b.id = e.target_id WHERE a.module <> b.module), m AS (SELECT module, avg((lower(type) = 'interface')::INTEGER) AS abstraction FROM one WHERE module IS NOT NULL GROUP BY module), c AS (SELECT m.module, abstraction, (SELECT count(*) FROM p WHERE y = m.module) AS ca, (SELECT count(*) FROM p WHERE x = m.module) AS ce FROM m), i AS (SELECT *, CASE WHEN ca + ce = 0 THEN 0.0 ELSE ce / (ca + ce) END::DOUBLE AS i FROM c) SELECT module, ca, ce, round(i, 6) AS instability, round(abstraction, 6) AS abstraction, round(abs(abstraction + i - 1), 6) AS distance FROM i")
 def coupling(spark: SparkSession, d: str) -> DataFrame:
     e = edges_of(spark, d).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    return graph.coupling(e, nodes_of(spark, d).select("id", "module")).withColumn("instability", F.round("instability", 6))
+    found = graph.coupling(e, nodes_of(spark, d).select("id", "module", (F.lower("type") == "interface").alias("is_abstract")))
+    return found.withColumns({c: F.round(c, 6) for c in ("instability", "abstraction", "distance")})
 
 
-@R.add("scc")
+@R.add(
+    "scc",
+    f"""{_DIRECTED}, r AS (SELECT id AS a, id AS b FROM (SELECT src AS id FROM s UNION SELECT dst FROM s) UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b)
+    SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""",
+)
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    """Strongly connected components of calls and containment; tested against a brute force."""
+    """Strongly connected components of calls and containment."""
     return graph.strong_components(_directed(spark, d))
 
 
-@R.add("connected_components")
+@R.add(
+    "connected_components",
+    f"""{_DIRECTED}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), r AS (SELECT DISTINCT src AS a, src AS b FROM u UNION SELECT r.a, u.dst FROM r JOIN u ON u.src = r.b)
+    SELECT a AS id, min(b) AS component FROM r GROUP BY a""",
+)
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(_directed(spark, d))
+
+
+@R.add(
+    "cycles",
+    f"""{_DIRECTED}, w AS (SELECT [src, dst] AS p FROM s WHERE src < dst UNION ALL SELECT list_append(w.p, s.dst) FROM w JOIN s ON s.src = w.p[-1] WHERE s.dst > w.p[1] AND NOT list_contains(w.p, s.dst) AND len(w.p) < 4),
+    c AS (SELECT [src] AS p FROM s WHERE src = dst UNION ALL SELECT w.p FROM w JOIN s ON s.src = w.p[-1] AND s.dst = w.p[1])
+    SELECT DISTINCT array_to_string(list_sort(p), ' > ') AS cycle, len(p)::INTEGER AS length FROM c""",
+)
+def cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of calls and containment of at most four symbols."""
+    return graph.cycles(_directed(spark, d), 4).withColumn("cycle", F.array_join("cycle", " > "))
+
+
+@R.add("label_counts", f"WITH {_NODES}, {_EDGES}, {_GE}, {_TYPED} SELECT rel, src_label, dst_label, count(*) AS n FROM g GROUP BY ALL")
+def label_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The typed graph's edges by relation and labels."""
+    return graph.typed_graph(edges_of(spark, d), nodes_of(spark, d)).groupBy("rel", "src_label", "dst_label").agg(F.count(F.lit(1)).alias("n"))
