@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hybridlake.session import cut_lineage, free_shuffles
+from hybridlake.session import cut_lineage, free_shuffles, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # Small star: each vertex links its smaller neighbours and itself to the least of them.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        now = cut_lineage(small.distinct())
+        before, now = now, cut_lineage(small.distinct())
+        release(before)
         # Settled: as many edges as before, and the same sum of hashes.
         sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == last:
@@ -169,12 +170,15 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     weighted = cut_lineage(e.join(out, "src").select("src", "dst", (1 / F.col("_out")).alias("w")))
     ranks = vertices.withColumn("rank", F.lit(1.0 / max(1, n)))
     # Each vertex with its rank when it was last written.
-    written = ranks.select("id", F.col("rank").alias("_was"))
+    written, before = ranks.select("id", F.col("rank").alias("_was")), None
     for i in range(rounds):
         given = weighted.join(ranks, weighted["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
         ranks = written.join(given, written["id"] == given["dst"], "left").select("id", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"), "_was")
         if i % 5 == 4:
             ranks = cut_lineage(ranks)
+            if before is not None:
+                release(before)
+            before = ranks
             moved = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("_was")))).first()[0] or 0.0
             if moved <= tolerance:
                 break
@@ -234,6 +238,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 better = e.join(color, e["src"] == color["id"]).groupBy("dst").agg(F.min("c").alias("m"))
                 color = color.join(better, color["id"] == better["dst"], "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
             color = cut_lineage(color)
+            if sign is not None:
+                release(written)
+            written = color
             last, sign = sign, color.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
             if sign == last:
                 break

@@ -42,10 +42,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a frame that `cut_lineage` gave, once all that was built on it is written."""
+    plan, spark = df._jdf.queryExecution().logical(), df.sparkSession
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Has Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
-    It acts when the driver collects its garbage, which may else be long after a lineage was cut.
+    A hint only, nothing relies on it: it acts when the driver collects its garbage, which may else be
+    long after a lineage was cut.
     What the first collection unlinks, the second lets go.
     """
     for _ in range(2):

@@ -86,3 +86,15 @@ def test_pagerank_query_runs_all_rounds(spark):
     want = brute_ranks([tuple(x) for x in store_queries._directed(spark, d).collect()])
     got = {x.id: x["rank"] for x in store_queries.pagerank(spark, d).collect()}
     assert got.keys() == want.keys() and max(abs(got[v] - want[v]) for v in want) < 1e-9
+
+
+def test_released_files_are_gone(spark):
+    import os
+
+    from hybridlake.session import cut_lineage, release
+
+    df = cut_lineage(spark.range(5))
+    folder = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(folder) and df.count() == 5
+    release(df)
+    assert not os.path.exists(folder)
