@@ -9,6 +9,7 @@ from hybridlake.functions import text as T
 from hybridlake.functions.embedding import hashing_model, memory_text
 from hybridlake.operators import fusion, lexical, retrieval, vector
 from hybridlake.plans.registry import Registry
+from hybridlake.session import cut_lineage
 from hybridlake.sources.tables import table
 
 R = Registry()
@@ -185,7 +186,8 @@ def _knowledge(name: str, terms: list[str], k: int, where: str = "true") -> str:
 def with_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Each key's latest memory with the hashing vector of its text."""
     one = table(spark, d, "memories").groupBy("key").agg(F.max(F.struct("updated_at", "content", "tags", "category")).alias("m")).select("key", "m.content", "m.tags", "m.category")
-    return one.join(vector.embed(one, F.col("key"), memory_text(F.col("category"), F.col("content")), hashing_model), "key", "left")
+    # Written as the store's vector table, since several lists read it.
+    return one.join(cut_lineage(vector.embed(one, F.col("key"), memory_text(F.col("category"), F.col("content")), hashing_model)), "key", "left")
 
 
 def text_vector(query: str) -> list[float]:
@@ -235,6 +237,7 @@ def unified_search(spark: SparkSession, d: str) -> DataFrame:
     """One fused list over code and knowledge (vectors and full text) and observations (newest that contain the query)."""
     columns = ["type", "name", "fqn", "docstring", "signature", "raw_body"]
     nodes = latest_nodes(spark, d, columns)
-    nodes = nodes.join(vector.embed(nodes, F.col("id"), T.embedding_text(*[F.col(c) for c in ("type", "fqn", "signature", "raw_body")]), hashing_model).withColumnRenamed("key", "id"), "id", "left")
+    vectors = cut_lineage(vector.embed(nodes, F.col("id"), T.embedding_text(*[F.col(c) for c in ("type", "fqn", "signature", "raw_body")]), hashing_model))
+    nodes = nodes.join(vectors.withColumnRenamed("key", "id"), "id", "left")
     seen = table(spark, d, "observations").groupBy("id").agg(F.min(F.struct("ingested_at", "content", "created_at", "type")).alias("m")).select("id", "m.content", "m.created_at", "m.type")
     return retrieval.unified(with_vectors(spark, d), nodes, seen, "queue", text_vector("queue"))
