@@ -37,26 +37,40 @@ PARSERS: dict[str, Parser] = {
     **{e: _brace("c") for e in (".c", ".h", ".cc", ".cpp", ".hpp")}, **{e: parse_document for e in (".md", ".html", ".css")},
 }
 
+#: Rows, and characters of the files they are from, that make one frame.
+_STEP_ROWS, _STEP_CHARS = 10_000, 2_000_000
+
 
 def parse_files(files: DataFrame, path: Column, source: Column, parsers: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a table of files. Files of unknown kinds, without text, or that don't parse give none."""
-    known = dict(parsers or PARSERS)
+    known, step_rows, step_chars = dict(parsers or PARSERS), _STEP_ROWS, _STEP_CHARS
     picked = files.select(path.alias("path"), source.alias("source")).where("path is not null and source is not null")
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[Parsed]:
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Parsed, int]]:
         for pdf in batches:
             for p, s in zip(pdf["path"], pdf["source"], strict=True):
                 parser = known.get("." + p.rsplit(".", 1)[-1].lower())
                 if parser:
-                    yield parser(p, s)
+                    yield parser(p, s), len(s)
+
+    def gathered(batches: Iterator[pd.DataFrame], part: str) -> Iterator[list]:
+        """Rows of many files at once, as a frame costs more than parsing a small file."""
+        rows, held = [], 0
+        for one, n in parsed(batches):
+            rows += getattr(one, part)
+            held += n
+            if len(rows) >= step_rows or held >= step_chars:
+                yield rows
+                rows, held = [], 0
+        yield rows
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for one in parsed(batches):
-            yield pd.DataFrame(one.nodes, columns=NODE_COLUMNS)
+        for rows in filter(None, gathered(batches, "nodes")):
+            yield pd.DataFrame(rows, columns=NODE_COLUMNS)
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for one in parsed(batches):
-            yield pd.DataFrame(one.edges, columns=EDGE_COLUMNS).astype({"call_site_line": "Int32"})
+        for rows in filter(None, gathered(batches, "edges")):
+            yield pd.DataFrame(rows, columns=EDGE_COLUMNS).astype({"call_site_line": "Int32"})
 
     return picked.mapInPandas(nodes, NODE_DDL), picked.mapInPandas(edges, EDGE_DDL)
 

@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hybridlake.functions.text import uuid5_url
-from hybridlake.parsers import brace_source, python_source
+from hybridlake.parsers import brace_source, python_source, registry
 from hybridlake.parsers.model import node_id
 from hybridlake.parsers.registry import module_of, node_category, parse_files
 from hybridlake.sources import workspace
@@ -88,3 +88,21 @@ def test_long_files_take_linear_time():
     brace_source.parse("big.ts", "".join(f"// Says {i}.\nfunction f{i}(a: number) {{\n  return g{i}(a);\n}}\n\n" for i in range(10_000)), "typescript")
     python_source.parse("big.py", "".join(f"def f{i}(a):\n    b = g{i}(a)\n    return h{i}(b)\n\n\n" for i in range(10_000)))
     assert time.time() - start < 40
+
+
+def test_names_without_arrows_and_deep_expressions():
+    start = time.time()
+    nodes, _ = by(brace_source.parse("a.ts", "const a = 1;\n" + "x: y,\n" * 20_000 + "\nconst f = async (n: number): Promise<void>  => {\n  go(n);\n}\n", "typescript"))
+    assert list(nodes) == ["f"] and time.time() - start < 5
+    nodes, edges = by(python_source.parse("d.py", "def f():\n    if a:\n        import os\n        def g(): pass\n    return " + " + ".join(["h(1)"] * 600) + "\n"))
+    assert set(nodes) == {"d", "f", "g"} and {(t, k) for _, t, k in edges} == {("__unresolved__::h", "CALLS"), ("__unresolved__::os", "IMPORTS")}
+
+
+def test_many_small_files_make_few_frames(spark, monkeypatch):
+    frames = []
+    files = spark.createDataFrame([("a.py", PY)], "path string, source string")
+    batch = registry.pd.DataFrame({"path": [f"{i}.py" for i in range(500)], "source": [PY] * 500})
+    monkeypatch.setattr(type(files), "mapInPandas", lambda df, run, schema: frames.append(list(run(iter([batch])))))
+    parse_files(files, F.col("path"), F.col("source"))
+    nodes, edges = frames
+    assert [len(x) for x in nodes] == [2000] and [len(x) for x in edges] == [3500]
