@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridlake.session import cut_lineage
+from hybridlake.operators import similar_sets
 
 
 def log1p_safe(x: Column) -> Column:
@@ -68,47 +68,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(df: DataFrame, key: str, grams: str, threshold: float) -> DataFrame:
-    """(key_a < key_b, similarity) of sets with Jaccard similarity of at least the threshold.
+    """(key_a < key_b, similarity) of sets with Jaccard similarity of at least the threshold."""
+    return similar_sets.pairs_of_keys(similar_sets.similar(df, key, grams, threshold))
 
-    Equal sets are joined once, as one class. Sets are ordered from their rarest element on, and
-    only those that share an element of their prefixes (the first |x| - ceil(t |x|) + 1) and whose
-    sizes, places and sketches allow it are compared.
-    """
-    t = threshold
-    sets = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(grams)).alias("g")).where("key is not null and size(g) > 0")
-    sets = cut_lineage(sets.withColumn("c", F.xxhash64("g")))
-    classes = sets.groupBy("c").agg(F.first("g").alias("g"))
-    gram = classes.select("c", F.size("g").alias("n"), F.explode("g").alias("x"))
-    frequency = gram.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    # A sketch of 512 bits bounds from below how far two sets differ; it travels with the postings.
-    bit = F.pmod(F.xxhash64("x"), F.lit(512))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-    words = [F.bit_or(F.when(F.floor(bit / 64) == w, one).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(8)]
-    names = [f"s{w}" for w in range(8)]
-    ordered = gram.join(frequency, "x").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"), *words)
-    take = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)).cast("int") + 1
-    kept = cut_lineage(ordered.select("c", "n", take.alias("take"), F.col("o.x").alias("o"), *names))
-    posts = kept.select("c", "n", *names, F.posexplode(F.slice("o", F.lit(1), F.col("take"))).alias("at", "x"))
-    a, b = posts.alias("a"), posts.alias("b")
-    can = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    near = (F.col("a.x") == F.col("b.x")) & (F.col("a.c") < F.col("b.c")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(t) - F.lit(1e-6)) & (can >= (F.col("a.n") + F.col("b.n")) * F.lit(t / (1 + t)) - F.lit(1e-6))
-    apart = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in names), F.lit(0))
-    near = near & (apart <= (F.col("a.n") + F.col("b.n")) * F.lit((1 - t) / (1 + t)) + F.lit(1e-6))
-    pairs = a.join(b, near).select(F.col("a.c").alias("c_a"), F.col("b.c").alias("c_b")).distinct()
-    side = lambda s: kept.select(F.col("c").alias(f"c_{s}"), F.col("o").alias(f"o_{s}"))
-    close = pairs.join(side("a"), "c_a").join(side("b"), "c_b").withColumn("similarity", jaccard(F.col("o_a"), F.col("o_b"))).where(F.col("similarity") >= t).select("c_a", "c_b", "similarity")
-    m = sets.select("key", "c").distinct()
-    x, y = m.select(F.col("key").alias("x"), F.col("c").alias("c_a")), m.select(F.col("key").alias("y"), F.col("c").alias("c_b"))
-    repeated = m.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("c_a"), F.col("c").alias("c_b"), F.lit(1.0).alias("similarity"))
-    every = close.unionByName(repeated).join(x, "c_a").join(y, "c_b").where("x != y and (c_a != c_b or x < y)")
-    return every.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "similarity").distinct()
-
-
-def marked_duplicates(df: DataFrame, pairs: DataFrame, key: str, score: str) -> DataFrame:
+
+def marked_duplicates(df: DataFrame, key: str, grams: str, score: str, threshold: float) -> DataFrame:
     """Keys that lose a pair: of every similar pair the lower score goes, of equal ones the greater key; marks don't spread."""
-    s = df.select(F.col(key).alias("_k"), F.col(score).alias("_s"))
-    p = pairs.join(s.select(F.col("_k").alias("key_a"), F.col("_s").alias("s_a")), "key_a").join(s.select(F.col("_k").alias("key_b"), F.col("_s").alias("s_b")), "key_b")
-    return p.select(F.when(F.col("s_a") >= F.col("s_b"), F.col("key_b")).otherwise(F.col("key_a")).alias(key)).distinct()
+    return similar_sets.losers(similar_sets.similar(df, key, grams, threshold), df, key, F.col(score))
 
 
 def normal_cdf(z: Column) -> Column:

@@ -150,21 +150,20 @@ p AS (SELECT a.id AS key_a, b.id AS key_b, a.confidence AS ca, b.confidence AS c
 s AS (SELECT *, i / (n - i) AS similarity FROM p WHERE i / (n - i) >= 0.7)"""
 
 
-def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _grams(spark: SparkSession, d: str) -> DataFrame:
     o = observations_of(spark, d).join(table(spark, d, "observations").groupBy("id").agg(F.min("confidence").alias("confidence")), "id").where("content is not null")
-    o = o.withColumn("t", A.normal_text(F.col("content"))).where("t != ''").withColumn("g", A.ngrams(F.col("t")))
-    return o, A.similar_pairs(o, "id", "g", 0.7)
+    return o.withColumn("t", A.normal_text(F.col("content"))).where("t != ''").withColumn("g", A.ngrams(F.col("t")))
 
 
 @R.add("ngram_jaccard", f"WITH {_PAIRS} SELECT key_a, key_b, round(similarity, 6) AS similarity FROM s")
 def ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d)[1].withColumn("similarity", F.round("similarity", 6))
+    return A.similar_pairs(_grams(spark, d), "id", "g", 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("near_dedupe", f"WITH {_PAIRS}, lost AS (SELECT CASE WHEN ca >= cb THEN key_b ELSE key_a END AS id FROM s) SELECT id FROM g WHERE id NOT IN (SELECT id FROM lost)")
 def near_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    o, pairs = _similar(spark, d)
-    return o.select("id").join(A.marked_duplicates(o, pairs, "id", "confidence"), "id", "left_anti")
+    o = _grams(spark, d)
+    return o.select("id").join(A.marked_duplicates(o, "id", "g", "confidence", 0.7), "id", "left_anti")
 
 
 _CAPS = {"search": ["search", "find", "query"], "merge": ["merge", "join"], "clean": ["drop", "remove", "clean"]}
