@@ -173,8 +173,9 @@ def similar(df: DataFrame, key: str, elements: str, threshold: float, block: int
     for each size of set.
     """
     spark = df.sparkSession
-    sets = df.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.transform(elements, lambda x: F.xxhash64(x)))).alias("xs")).where("key is not null and size(xs) > 0")
-    sets = cut_lineage(sets.withColumn("h", F.xxhash64("xs")))
+    sets = df.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.transform(elements, lambda x: F.xxhash64(x)))).alias("xs")).where("key is not null")
+    # Filtered once they are written, as a filter below would make all sets twice.
+    sets = cut_lineage(sets.withColumn("h", F.xxhash64("xs"))).where("size(xs) > 0")
     classes = sets.groupBy("h").agg(F.min("key").alias("c"), (F.min("key") != F.max("key")).alias("more"), F.first("xs").alias("xs"))
     named = classes.select("h", "c")
     of, meetings, tasks = _blocks([(r[0], r[1]) for r in classes.groupBy(F.size("xs").alias("n")).count().orderBy("n").collect()], threshold, block)

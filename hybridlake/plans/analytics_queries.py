@@ -151,8 +151,10 @@ s AS (SELECT *, i / (n - i) AS similarity FROM p WHERE i / (n - i) >= 0.7)"""
 
 
 def _grams(spark: SparkSession, d: str) -> DataFrame:
-    o = observations_of(spark, d).join(table(spark, d, "observations").groupBy("id").agg(F.min("confidence").alias("confidence")), "id").where("content is not null")
-    return o.withColumn("t", A.normal_text(F.col("content"))).where("t != ''").withColumn("g", A.ngrams(F.col("t")))
+    # The text is made below the join, so the expression of each of its runs doesn't hold it.
+    o = observations_of(spark, d).where("content is not null").select("id", A.normal_text(F.col("content")).alias("t")).where("t != ''")
+    o = o.join(table(spark, d, "observations").groupBy("id").agg(F.min("confidence").alias("confidence")), "id")
+    return o.withColumn("g", A.ngrams(F.col("t")))
 
 
 @R.add("ngram_jaccard", f"WITH {_PAIRS} SELECT key_a, key_b, round(similarity, 6) AS similarity FROM s")

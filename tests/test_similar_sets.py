@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hybridlake.operators import analytics as A
@@ -49,3 +52,19 @@ def test_copies_are_one_class_for_losers(spark):
     df = spark.range(5000).select("id", F.array(F.lit("abc"), F.lit("bcd")).alias("g"), F.lit(0.5).alias("s"))
     s = S.similar(df, "id", "g", 0.7)
     assert s.pairs.count() == 0 and S.losers(s, df, "id", F.col("s")).count() == 4999
+
+
+def test_sets_of_common_elements_take_little_memory():
+    # Each element is in a sixth of 4,000 sets, so prefixes leave millions of candidates.
+    r = np.random.default_rng(1)
+    has = r.random((4000, 60)) < 1 / 6
+    has[2000:] = has[:2000] ^ (r.random((2000, 60)) < 0.02)
+    has[:, 0] = True
+    xs = [np.flatnonzero(x).tolist() for x in has]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4000, pa.int32()), pa.array(range(4000), pa.int64()), pa.array([False] * 4000), pa.array(xs, pa.list_(pa.int64()))], ["side", "c", "more", "xs"])
+    tracemalloc.start()
+    got = {(min(p), max(p)) for b in S._compared(0.7)(iter([batch])) for p in zip(b.column("c_a").to_pylist(), b.column("c_b").to_pylist(), strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    m, n = has.astype(np.float32) @ has.T.astype(np.float32), has.sum(axis=1)
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(m / (n[:, None] + n - m) >= np.float32(0.7), 1))), strict=True)) and peak < 40e6
